@@ -1,0 +1,9 @@
+"""Word vectors and context windows from large text corpora, as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python helpers that run inside tasks travel with the job, so executors
+# need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
