@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ...session import cut
 from .. import algebra as L
 from ..weights import WINDOW_KEYS
-from .random import project
+from .random import reduce_terms
 
 
 def directions(between: np.ndarray, within: np.ndarray, dim: int, ridge: float = 1e-6) -> np.ndarray:
@@ -32,7 +32,7 @@ def discriminant_vectors(window_weights: DataFrame, vocab: DataFrame, *, dim: in
     reduced = min(256, 4 * dim) if reduced is None else reduced
     if dim > reduced:
         raise ValueError("dim must not exceed the reduced number of columns")
-    rows = cut(project(window_weights, vocab.select("term"), reduced, by=list(keys), density=1.0 / 3.0, seed=seed)
+    rows = cut(reduce_terms(window_weights, vocab, reduced, by=list(keys), seed=seed)
                .drop(*[k for k in keys if k != "word"]), "windows")
     cols = L.dense_columns(rows)
     means = cut(rows.groupBy("word").agg(*[F.avg(c).alias(c) for c in cols], F.count("*").alias("n")), "means")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ...session import cut
 from .. import algebra as L
 
 
@@ -17,7 +18,14 @@ def project(sparse: DataFrame, terms: DataFrame, dim: int, *, by: str | list[str
     if density is None:
         size = terms.agg(F.count("*").cast("double").alias("n")).scalar()
         density = F.lit(1.0) / F.sqrt(size)
-    signs = L.seeded_signs(terms, "term", dim, density, seed=seed)
+    signs = cut(L.seeded_signs(terms, "term", dim, density, seed=seed), "signs")
+    return L.multiply(sparse, signs, by=by, on="term")
+
+
+def reduce_terms(sparse: DataFrame, terms: DataFrame, dim: int, *, by: str | list[str] = "word",
+                 seed: int = 42) -> DataFrame:
+    """Distance-preserving reduction to ``dim`` columns, as a first step of other methods."""
+    signs = cut(L.third_signs(terms.select("term"), "term", dim, seed=seed), "signs")
     return L.multiply(sparse, signs, by=by, on="term")
 
 

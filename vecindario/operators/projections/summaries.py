@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ...session import cut
 from .. import algebra as L
-from .random import project
+from .random import reduce_terms
 
 SUMMARY = "n double, ls array<double>, ss double"
 
@@ -98,7 +98,7 @@ def distances(dense: DataFrame, centers: np.ndarray, key: str = "word") -> DataF
 def summary_vectors(centroids: DataFrame, vocab: DataFrame, *, dim: int = 100, threshold: float = 0.5,
                     reduced: int = 64, limit: int = 256, bucket_rows: int = 4096, seed: int = 42) -> DataFrame:
     """Distances of every word to ``dim`` centers of weighted summaries."""
-    dense = cut(project(centroids, vocab.select("term"), reduced, density=1.0 / 3.0, seed=seed), "reduced")
+    dense = cut(reduce_terms(centroids, vocab, reduced, seed=seed), "reduced")
     found = cut(bucket_summaries(dense, threshold=threshold, limit=limit, bucket_rows=bucket_rows), "summaries")
     rows = found.select("n", array_to_vector(F.transform("ls", lambda x: x / F.col("n"))).alias("features"))
     model = KMeans(k=dim, seed=seed, weightCol="n").fit(rows)

@@ -12,7 +12,9 @@ from ..session import spread
 
 def lines_from_column(docs: DataFrame, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per line of a text column, with its 0-based position in the document."""
-    docs = spread(docs.select(*keys, text), *keys)
+    docs = docs.select(*keys, text)
+    if not docs.isStreaming:
+        docs = spread(docs, *keys)
     split = F.split(F.col(text), "\n")
     return docs.select(*keys, F.posexplode(split).alias("line_no", "raw")).select(
         *keys, "line_no", T.strip(F.col("raw")).alias("line")
