@@ -69,4 +69,4 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
 
 def format_vector(vec: Column) -> Column:
     """Array of doubles as blank-separated numbers with six decimals."""
-    return F.array_join(F.transform(vec, lambda x: F.format_string("%.6f", x)), " ")
+    return F.array_join(F.transform(vec, lambda x: F.format_string("%.6f", F.round(x, 6) + F.lit(0.0))), " ")

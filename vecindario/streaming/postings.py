@@ -11,12 +11,15 @@ from ..sources.corpus import lines_from_column
 
 
 def stream_postings(spark: SparkSession, source: str, schema: StructType, out: str, checkpoint: str, *,
-                    files_per_trigger: int = 100, text: str = "text") -> StreamingQuery:
+                    files_per_trigger: int = 100, pattern: str = "*.parquet", text: str = "text") -> StreamingQuery:
     """Append the postings of each new file once; stateless, so it needs no watermark.
 
     Processes what is there and stops; run it again to take in what came since.
     """
-    docs = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    docs = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+        .option("pathGlobFilter", pattern).parquet(source)
+    )
     posts = postings(lines_from_column(docs, text=text))
     return (
         posts.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
