@@ -32,6 +32,7 @@ def discriminant_vectors(window_weights: DataFrame, vocab: DataFrame, *, dim: in
     reduced = min(256, 4 * dim) if reduced is None else reduced
     if dim > reduced:
         raise ValueError("dim must not exceed the reduced number of columns")
+    window_weights = cut(window_weights.select(*keys, "term", "weight"), "weights")
     rows = cut(reduce_terms(window_weights, vocab, reduced, by=list(keys), seed=seed)
                .drop(*[k for k in keys if k != "word"]), "windows")
     cols = L.dense_columns(rows)

@@ -25,43 +25,45 @@ SUMMARY = "n double, ls array<double>, ss double"
 
 
 def summarize(points: np.ndarray, threshold: float, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Absorb points into the nearest summary whose radius stays within ``threshold``.
+    """Absorb each point into the nearest summary whose mean is within ``threshold``.
 
     Returns counts, linear sums and square sums. Going beyond ``limit`` summaries
     raises the threshold by half and absorbs the summaries into each other.
     """
-    return _absorb(np.ones(len(points)), points, (points * points).sum(axis=1), threshold, limit)
-
-
-def _absorb(n_in, ls_in, ss_in, threshold, limit):
-    n, ls, ss = np.zeros(limit + 1), np.zeros((limit + 1, ls_in.shape[1])), np.zeros(limit + 1)
-    used = 0
-    for cn, cl, cs in zip(n_in, ls_in, ss_in):
-        if used:
-            means = ls[:used] / n[:used, None]
-            best = int((((means - cl / cn) ** 2).sum(axis=1)).argmin())
-            bn, bl, bs = n[best] + cn, ls[best] + cl, ss[best] + cs
-            if bs / bn - (bl @ bl) / bn**2 <= threshold**2:
-                n[best], ls[best], ss[best] = bn, bl, bs
-                continue
-        n[used], ls[used], ss[used] = cn, cl, cs
-        used += 1
-        if used > limit:
+    n, ls, ss = np.ones(len(points)), points, (points * points).sum(axis=1)
+    done, width = 0, points.shape[1]
+    kept_n, kept_ls, kept_ss = np.zeros(0), np.zeros((0, width)), np.zeros(0)
+    while done < len(points):
+        room = limit + 1
+        kept_n, kept_ls, kept_ss, took = _absorb(
+            (kept_n, kept_ls, kept_ss), (n[done:], ls[done:], ss[done:]), threshold, room)
+        done += took
+        while len(kept_n) > limit or (done < len(points) and len(kept_n) == room):
             threshold *= 1.5
-            m_n, m_ls, m_ss, threshold = _shrink(n[:used], ls[:used], ss[:used], threshold, limit)
-            used = len(m_n)
-            n[:used], ls[:used], ss[:used] = m_n, m_ls, m_ss
-    return n[:used].copy(), ls[:used].copy(), ss[:used].copy()
-
-
-def _shrink(n, ls, ss, threshold, limit):
-    """Merge summaries until at most half the limit is left."""
-    while len(n) > max(limit // 2, 1):
-        means = ls / n[:, None]
-        order = np.argsort(means[:, 0], kind="stable")
-        n, ls, ss = _absorb(n[order], ls[order], ss[order], threshold, len(n))
-        threshold *= 1.5
-    return n, ls, ss, threshold
+            empty = (np.zeros(0), np.zeros((0, width)), np.zeros(0))
+            kept_n, kept_ls, kept_ss, _ = _absorb(empty, (kept_n, kept_ls, kept_ss), threshold, len(kept_n))
+    return kept_n, kept_ls, kept_ss
+
+
+def _absorb(kept, new, threshold: float, room: int):
+    """Add entries to the kept summaries until ``room`` is used up; also tells how many were taken."""
+    used = len(kept[0])
+    n, ls, ss = np.zeros(room), np.zeros((room, new[1].shape[1])), np.zeros(room)
+    n[:used], ls[:used], ss[:used] = kept
+    means = np.zeros_like(ls)
+    means[:used] = ls[:used] / n[:used, None]
+    for taken, (cn, cl, cs) in enumerate(zip(*new)):
+        best = None
+        if used:
+            gaps = ((means[:used] - cl / cn) ** 2).sum(axis=1)
+            best = int(gaps.argmin())
+        if best is None or gaps[best] > threshold**2:
+            if used == room:
+                return n, ls, ss, taken
+            best, used = used, used + 1
+        n[best], ls[best], ss[best] = n[best] + cn, ls[best] + cl, ss[best] + cs
+        means[best] = ls[best] / n[best]
+    return n[:used].copy(), ls[:used].copy(), ss[:used].copy(), len(new[0])
 
 
 def bucket_summaries(dense: DataFrame, *, threshold: float = 0.5, limit: int = 256, bucket_rows: int = 4096) -> DataFrame:
@@ -97,9 +99,12 @@ def distances(dense: DataFrame, centers: np.ndarray, key: str = "word") -> DataF
 
 def summary_vectors(centroids: DataFrame, vocab: DataFrame, *, dim: int = 100, threshold: float = 0.5,
                     reduced: int = 64, limit: int = 256, bucket_rows: int = 4096, seed: int = 42) -> DataFrame:
-    """Distances of every word to ``dim`` centers of weighted summaries."""
+    """Distances of every word to the centers of weighted summaries.
+
+    There are ``dim`` centers, or one per summary if fewer summaries were needed.
+    """
     dense = cut(reduce_terms(centroids, vocab, reduced, seed=seed), "reduced")
     found = cut(bucket_summaries(dense, threshold=threshold, limit=limit, bucket_rows=bucket_rows), "summaries")
     rows = found.select("n", array_to_vector(F.transform("ls", lambda x: x / F.col("n"))).alias("features"))
-    model = KMeans(k=dim, seed=seed, weightCol="n").fit(rows)
+    model = KMeans(k=min(dim, rows.count()), seed=seed, weightCol="n").fit(rows)
     return distances(dense, np.array(model.clusterCenters()))
