@@ -383,7 +383,7 @@ def predict_center_pca(spark, sf):
 
 def predict_center_ovr(spark, sf):
     rows = Wn.shingle_windows(bench_lines(spark, sf))
-    rows = Pr.prepare(rows, keys=SHAPES, min_count=2, min_share=0.003, stratified=True)
+    rows = Pr.prepare(rows, keys=SHAPES, min_count=2, min_share=0.005, stratified=True)
     return Pr.fit_predict(rows, Pr.one_vs_rest(), num_features=256)
 
 
