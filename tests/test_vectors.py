@@ -1,0 +1,171 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vecindario.operators import (algebra as L, centroids as Ce, distances as D, knn as K, mlvectors as M,
+                                  projections as J, weights as Wt)
+from vecindario.operators.projections import graph as G, kmeans as KM, nmf as N, summaries as S
+from vecindario.operators.projections.discriminant import directions
+from vecindario.operators.projections.svd import svd_dense
+from vecindario.plans.pipeline import METHODS, word_vectors
+from vecindario.session import cut
+
+
+@pytest.fixture(scope="module")
+def X(corpus):
+    return Ce.corpus_centroids(corpus, stop=[])
+
+
+@pytest.fixture(scope="module")
+def dense(X):
+    table = X.toPandas().dropna().pivot(index="word", columns="term", values="weight").fillna(0.0)
+    return list(table.index), list(table.columns), table.to_numpy()
+
+
+def as_dict(vectors):
+    return {r["word"]: np.array(r["vec"]) for r in vectors.collect()}
+
+
+def test_products_match_numpy(X, dense):
+    words, terms, A = dense
+    filled = X.filter("term is not null")
+    B = cut(L.seeded_block(filled.select("term").distinct(), "term", 40))
+    b = {r["term"]: np.array(list(r)[1:]) for r in B.collect()}
+    got = {r["word"]: np.array(list(r)[1:]) for r in L.multiply(X, B, by="word", on="term").collect()}
+    want = A @ np.array([b[t] for t in terms])
+    assert max(np.abs(got[w] - want[i]).max() for i, w in enumerate(words)) < 1e-12
+    assert np.allclose(L.gram(B), sum(np.outer(v, v) for v in b.values()))
+    white = L.rotate(B, L.whitener(L.gram(B)), "term")
+    g = np.diag(L.gram(white))
+    assert np.all((np.abs(g - 1) < 1e-6) | (np.abs(g) < 1e-6))
+
+
+def test_svd_matches_numpy(X, dense):
+    words, _, A = dense
+    out, values = svd_dense(X, 4, rounds=8)
+    want = np.linalg.svd(A, compute_uv=False)[:4]
+    assert np.allclose(values, want, rtol=1e-6)
+    g = L.gram(out)
+    assert np.allclose(g, np.diag(values**2), atol=1e-8)
+
+
+def test_nmf_reduces_the_loss(X):
+    losses = []
+    for rounds in (1, 3, 8):
+        W, H = N.factorize(X, 3, rounds=rounds, alpha=0.0)
+        losses.append(N.loss(X, W, H))
+        assert W.filter(" or ".join(f"c{j} < 0" for j in range(3))).isEmpty()
+    assert losses[0] >= losses[1] >= losses[2] >= 0
+
+
+def test_kmeans_assigns_the_nearest_center(X, dense):
+    words, terms, A = dense
+    filled = X.filter("term is not null")
+    centers = KM.lloyd(filled, 3, rounds=4)
+    c = {r["term"]: np.array(list(r)[1:]) for r in centers.collect()}
+    C = np.array([c.get(t, np.zeros(3)) for t in terms]).T
+    labels = {r["word"]: r["label"] for r in KM.assign(filled, centers).collect()}
+    d = ((A[:, None, :] - C[None]) ** 2).sum(axis=2)
+    assert all(d[i, labels[w]] <= d[i].min() + 1e-9 for i, w in enumerate(words))
+    vecs = as_dict(J.kmeans_vectors(X, dim=3, rounds=4))
+    assert np.allclose(vecs[words[0]], A[0] @ C.T)
+
+
+def test_minibatch_guards_and_mean(X):
+    filled = X.filter("term is not null")
+    with pytest.raises(ValueError):
+        KM.minibatch_centers(filled, 5, batch_size=4)
+    with pytest.raises(ValueError):
+        KM.minibatch_centers(filled, 5, batch_size=10_000)
+    one = KM.minibatch_centers(filled, 1, n_batches=3)
+    n = filled.select("word").distinct().count()
+    want = {r["term"]: r["s"] / n for r in filled.groupBy("term").agg(F.sum("weight").alias("s")).collect()}
+    got = {r["term"]: r["c0"] for r in one.collect()}
+    assert all(abs(got[t] - want[t]) < 1e-9 for t in want)
+
+
+def test_summaries_keep_every_row():
+    rng = np.random.default_rng(0)
+    points = rng.normal(size=(500, 4))
+    n, ls, ss = S.summarize(points, 0.3, 20)
+    assert len(n) <= 20 and n.sum() == 500
+    assert np.allclose(ls.sum(axis=0), points.sum(axis=0)) and np.isclose(ss.sum(), (points**2).sum())
+    n, _, _ = S.summarize(np.tile(points[:1], (300, 1)), 0.3, 20)
+    assert list(n) == [300]
+
+
+def test_directions_separate_classes():
+    between, within = np.diag([4.0, 0.1]), np.eye(2)
+    axes = directions(between, within, 1)
+    assert abs(axes[0, 0]) > 0.99 and abs(axes[1, 0]) < 1e-6
+
+
+def test_sparse_ml_vectors(X, dense):
+    words, _, A = dense
+    rows, size = M.sparse_vectors(X)
+    got = {r["word"]: r["features"].toArray() for r in rows.collect()}
+    assert size == A.shape[1] and all(np.allclose(got[w], A[i]) for i, w in enumerate(words))
+    hashed, size = M.sparse_vectors(X, max_features=5)
+    assert size == 5 and sum(r["features"].toArray().sum() for r in hashed.collect()) == pytest.approx(A.sum())
+
+
+def brute_knn(ids, v, k):
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    out = {}
+    for i, a in enumerate(ids):
+        order = sorted((round(d[i, j], 9), ids[j]) for j in range(len(ids)) if j != i)
+        out[a] = order[:k]
+    return out
+
+
+@pytest.mark.parametrize("case", ["spread", "copies", "clusters", "few"])
+def test_knn_is_exact(spark, case):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 3)).round(6)
+    if case == "copies":
+        v[:120] = v[0]
+    if case == "clusters":
+        v[:150] = v[0] + rng.normal(size=(150, 3)).round(6) * 1e-3
+    if case == "few":
+        v = v[:4]
+    ids = [f"w{i:03d}" for i in range(len(v))]
+    df = spark.createDataFrame([(a, x.tolist()) for a, x in zip(ids, v)], "word string, vec array<double>")
+    got = {}
+    for r in K.knn(df, 5, block_rows=16).orderBy("word", "rank").collect():
+        got.setdefault(r["word"], []).append((round(r["distance"], 9), r["neighbor"]))
+    want = brute_knn(ids, v, 5)
+    assert got == want
+
+
+def test_spectral_coordinates_split_components(spark):
+    rows = [(f"a{i}", f"a{(i + 1) % 6}") for i in range(6)] + [(f"b{i}", f"b{(i + 1) % 6}") for i in range(6)]
+    near = spark.createDataFrame(rows, "word string, neighbor string")
+    out, residual = G.spectral_coordinates(G.affinity(near), 2, rounds=40)
+    vecs = {r["word"]: np.array(list(r)[1:]) for r in out.collect()}
+    assert residual < 1e-3
+    assert np.allclose(vecs["a0"], vecs["a3"], atol=1e-3) and not np.allclose(vecs["a0"], vecs["b0"], atol=1e-2)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_center_distances(spark, limit):
+    rows = spark.createDataFrame([(1, [0.0, 0.0], 0), (2, [3.0, 4.0], 1)], "vec_id long, embedding array<float>, label int")
+    got = {(r["vec_id"], r["center"]): r["distance"] for r in
+           D.center_distances(rows, D.center_means(rows), max_values=limit).collect()}
+    assert got == {(1, 0): 0.0, (1, 1): 5.0, (2, 0): 5.0, (2, 1): 0.0}
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_every_method_gives_one_vector_per_word(corpus, method):
+    vectors = word_vectors(corpus, method, dim=3, stop=[], n_batches=2).cache()
+    words = vectors.count()
+    assert words == vectors.select("word").distinct().count() > 5
+    assert vectors.filter(F.exists("vec", lambda x: x.isNull() | F.isnan(x))).isEmpty()
+    assert {r[0] for r in vectors.select(F.size("vec")).distinct().collect()} == {3}
+    if method == "topics":
+        assert vectors.filter(F.abs(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-6).isEmpty()
+    vectors.unpersist()
+
+
+def test_unknown_method(corpus):
+    with pytest.raises(ValueError):
+        word_vectors(corpus, "magic")
