@@ -10,7 +10,8 @@ from vecindario.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    session = local_session("4", **{
+        "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "4g"})
     yield session
     session.stop()
 
