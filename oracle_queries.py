@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import zipfile
-from glob import glob
-
-import pyspark
+import functools
+import logging
 
+from vecindario.functions.text import stop_words
 from vecindario.plans.catalog import EMB_DIM, LANGUAGES, LOOKUP_WORDS, VEC_DIM
 
 BLANKS = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 TOKENS = r"regexp_extract_all(lower(line), '([\p{L}\p{N}_]{2,})', 1)"
 
 
-def shipped_stop_words(language: str) -> list[str]:
-    """Spark's own list, read from its jar so that no session is needed."""
-    jar = glob(os.path.join(pyspark.__path__[0], "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        return z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8").split("\n")
-
-
+@functools.cache
 def stops(language: str = "english") -> str:
-    words = [w.strip() for w in shipped_stop_words(language) if w.strip()]
+    words = [w.strip() for w in stop_words(language) if w.strip()]
     return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 
 
@@ -168,104 +160,117 @@ def oracle() -> dict[str, str]:
     rows = with_(lines(), sliding())
     ranked = with_(lines(), sliding(), RANKED)
     inverse = with_(lines(), sliding(), RANKED, INVERSE)
-    conv = f"WITH {conv_chain()}, {TERMS}, {WEIGHTED}"
-    conv_vec = f"{conv}, {CENTROIDS}, {random_rows(VEC_DIM)} "
-    by_lang = " ".join(f"WHEN '{code}' THEN list_filter(t, lambda x: x NOT IN {stops(name)})" for code, name in LANGUAGES.items())
-    out = {
-        "corpus_lines": with_(lines()) + "SELECT * FROM lines",
-        "stack_corpora": with_(lines(), lines("clines", **CONV))
+
+    def conv() -> str:
+        return f"WITH {conv_chain()}, {TERMS}, {WEIGHTED}"
+
+    def conv_vec() -> str:
+        return f"{conv()}, {CENTROIDS}, {random_rows(VEC_DIM)} "
+
+    def by_lang() -> str:
+        return " ".join(f"WHEN '{code}' THEN list_filter(t, lambda x: x NOT IN {stops(name)})" for code, name in LANGUAGES.items())
+
+    texts = {
+        "corpus_lines": lambda: with_(lines()) + "SELECT * FROM lines",
+        "stack_corpora": lambda: with_(lines(), lines("clines", **CONV))
         + "SELECT 'documents' AS corpus, * FROM lines UNION ALL SELECT 'conversations' AS corpus, * FROM clines",
-        "clean_text": with_(lines()) + f"SELECT doc_id, line_no, {CLEAN} AS clean FROM lines",
-        "clean_text_short": with_(lines()) + f"SELECT doc_id, line_no, {SHORT} AS clean FROM lines",
-        "tokens": base + "SELECT * FROM posts",
-        "tokens_ws": with_(lines(), posts(tokens=SPLIT_WS.format("lower(line)"))) + "SELECT * FROM posts",
-        "tokens_nostop": with_(lines(extra=", lang")) + f"""
+        "clean_text": lambda: with_(lines()) + f"SELECT doc_id, line_no, {CLEAN} AS clean FROM lines",
+        "clean_text_short": lambda: with_(lines()) + f"SELECT doc_id, line_no, {SHORT} AS clean FROM lines",
+        "tokens": lambda: base + "SELECT * FROM posts",
+        "tokens_ws": lambda: with_(lines(), posts(tokens=SPLIT_WS.format("lower(line)"))) + "SELECT * FROM posts",
+        "tokens_nostop": lambda: with_(lines(extra=", lang")) + f"""
             SELECT doc_id, line_no, (n - 1)::INT AS "offset", word FROM (
               SELECT doc_id, line_no, unnest(range(1, len(k) + 1)) AS n, unnest(k) AS word FROM (
-                SELECT doc_id, line_no, CASE lang {by_lang} ELSE t END AS k
+                SELECT doc_id, line_no, CASE lang {by_lang()} ELSE t END AS k
                 FROM (SELECT doc_id, line_no, lang, {TOKENS} AS t FROM lines)))""",
-        "char_ngrams": with_(lines("clines", **CONV)) + """
+        "char_ngrams": lambda: with_(lines("clines", **CONV)) + """
             SELECT doc_id, line_no, len(g)::INT AS n_grams, array_to_string(g, '|') AS grams FROM (
               SELECT doc_id, line_no, CASE WHEN length(line) > 0 THEN list_transform(
                 range(1, greatest(1, length(line) - 2) + 1), lambda i: substr(line, i, 3)) ELSE [] END AS g FROM clines)""",
-        "postings": base + f"SELECT {p4} FROM posts",
-        "postings_lookup": base + f"SELECT {p4} FROM posts WHERE word IN {lookup}",
-        "postings_to_lines": with_(lines("clines", **CONV), posts(source="clines"))
+        "postings": lambda: base + f"SELECT {p4} FROM posts",
+        "postings_lookup": lambda: base + f"SELECT {p4} FROM posts WHERE word IN {lookup}",
+        "postings_to_lines": lambda: with_(lines("clines", **CONV), posts(source="clines"))
         + f"SELECT {p4}, md5(line) AS line_md5 FROM posts JOIN clines USING (doc_id, line_no)",
-        "coo_codec": base + "SELECT word, doc_id, line_no || ',' || \"offset\" AS coo, line_no, \"offset\" FROM posts",
-        "sampled_postings": with_(lines(), posts(), sampled()) + "SELECT * FROM sampled",
-        "context_windows": with_(lines(), posts(), toks(), sampled(), windows())
+        "coo_codec": lambda: base + "SELECT word, doc_id, line_no || ',' || \"offset\" AS coo, line_no, \"offset\" FROM posts",
+        "sampled_postings": lambda: with_(lines(), posts(), sampled()) + "SELECT * FROM sampled",
+        "context_windows": lambda: with_(lines(), posts(), toks(), sampled(), windows())
         + f"SELECT {p4}, array_to_string(win, ' ') AS \"window\" FROM windows",
-        "kwic_words": with_(lines(), posts(keep=f"WHERE word IN {lookup}"), toks(), windows("posts"))
+        "kwic_words": lambda: with_(lines(), posts(keep=f"WHERE word IN {lookup}"), toks(), windows("posts"))
         + f"SELECT {p4}, array_to_string(win, ' ') AS \"window\" FROM windows",
-        "sliding_windows": rows + "SELECT doc_id, line_no, pos, word, array_to_string(win, ' ') AS \"window\" FROM rows_",
-        "shingle_windows": with_(lines("clines", **CONV), shingles()) + """
+        "sliding_windows": lambda: rows + "SELECT doc_id, line_no, pos, word, array_to_string(win, ' ') AS \"window\" FROM rows_",
+        "shingle_windows": lambda: with_(lines("clines", **CONV), shingles()) + """
             SELECT doc_id, line_no, pos, run[len(run) // 2 + 1] AS word,
                    array_to_string(list_concat(run[1:len(run) // 2], run[len(run) // 2 + 2:]), '|') AS "window" FROM runs""",
-        "batch_ids": base + """
+        "batch_ids": lambda: base + """
             SELECT word, (row_number() OVER (ORDER BY length(word), word) - 1) // 100 AS batch_id
             FROM (SELECT DISTINCT word FROM posts)""",
-        "vocab_size": base + "SELECT count(DISTINCT word) AS vocab_size FROM posts",
-        "doc_freq": base + "SELECT word AS term, count(DISTINCT (doc_id, line_no)) AS df FROM posts GROUP BY word",
-        "vocab_pruned": with_(lines(), vocab(prune=True)) + "SELECT term, df, round(idf, 6) AS idf FROM vocab",
-        "vocab_postings": with_(lines(), posts(), vocab(prune=True))
+        "vocab_size": lambda: base + "SELECT count(DISTINCT word) AS vocab_size FROM posts",
+        "doc_freq": lambda: base + "SELECT word AS term, count(DISTINCT (doc_id, line_no)) AS df FROM posts GROUP BY word",
+        "vocab_pruned": lambda: with_(lines(), vocab(prune=True)) + "SELECT term, df, round(idf, 6) AS idf FROM vocab",
+        "vocab_postings": lambda: with_(lines(), posts(), vocab(prune=True))
         + f"SELECT {p4} FROM posts WHERE word IN (SELECT term FROM vocab)",
-        "missing_words": with_(lines(), posts(), lines("clines", **CONV), vocab("clines"))
+        "missing_words": lambda: with_(lines(), posts(), lines("clines", **CONV), vocab("clines"))
         + "SELECT term AS word FROM vocab WHERE term NOT IN (SELECT word FROM posts)",
-        "windows_per_word": base + "SELECT word, least(count(*), 50) AS n_windows FROM posts GROUP BY word",
-        "tfidf_windows": conv + f" SELECT {p4}, term, tf, round(weight, 6) AS weight FROM weighted",
-        "tfidf_external_idf": f"WITH {conv_chain(external=True)}, {TERMS}, {WEIGHTED}"
+        "windows_per_word": lambda: base + "SELECT word, least(count(*), 50) AS n_windows FROM posts GROUP BY word",
+        "tfidf_windows": lambda: conv() + f" SELECT {p4}, term, tf, round(weight, 6) AS weight FROM weighted",
+        "tfidf_external_idf": lambda: f"WITH {conv_chain(external=True)}, {TERMS}, {WEIGHTED}"
         + f" SELECT {p4}, term, tf, round(weight, 6) AS weight FROM weighted",
-        "count_windows": f"WITH {conv_chain(prune=True)}, {TERMS}"
+        "count_windows": lambda: f"WITH {conv_chain(prune=True)}, {TERMS}"
         + f" SELECT {p4}, term, tf FROM terms WHERE term IN (SELECT term FROM vocab)",
-        "window_vectors": conv + f""", words AS (
+        "window_vectors": lambda: conv() + f""", words AS (
             SELECT word, row_number() OVER (ORDER BY length(word), word) - 1 AS label
             FROM (SELECT DISTINCT word FROM posts WHERE word NOT IN {stops()}))
             SELECT {p4}, term, round(weight, 6) AS weight, label FROM weighted JOIN words USING (word)""",
-        "word_centroids": f"{conv}, {CENTROIDS}"
+        "word_centroids": lambda: f"{conv()}, {CENTROIDS}"
         + " SELECT word, term, round(weight, 6) + 0.0::DOUBLE AS weight, n_windows FROM centroids",
-        "hashing_tf": with_(lines("clines", **CONV), sliding("clines")) + """
+        "hashing_tf": lambda: with_(lines("clines", **CONV), sliding("clines")) + """
             SELECT doc_id, line_no, pos, (('0x' || substr(md5(term), 1, 8))::BIGINT % 1024)::INT AS bucket, count(*) AS tf
             FROM (SELECT doc_id, line_no, pos, unnest(win) AS term FROM rows_) GROUP BY ALL""",
-        "plain_idf": rows + """
+        "plain_idf": lambda: rows + """
             SELECT bucket, count(*) AS df, round(ln(((SELECT count(*)::DOUBLE FROM rows_) + 1) / (count(*) + 1.0::DOUBLE)), 6) AS idf
             FROM (SELECT DISTINCT doc_id, line_no, pos, (('0x' || substr(md5(term), 1, 8))::BIGINT % 1024)::INT AS bucket
                   FROM (SELECT doc_id, line_no, pos, unnest(win) AS term FROM rows_)) GROUP BY bucket""",
-        "sparse_matmul": base + """, cells AS (SELECT doc_id, word, count(*)::DOUBLE AS a FROM posts GROUP BY ALL),
+        "sparse_matmul": lambda: base + """, cells AS (SELECT doc_id, word, count(*)::DOUBLE AS a FROM posts GROUP BY ALL),
             langs AS (SELECT word, lang, count(*)::DOUBLE AS b FROM cells JOIN documents USING (doc_id) GROUP BY ALL)
             SELECT doc_id, lang, sum(a * b) AS weight FROM cells JOIN langs USING (word) GROUP BY ALL""",
-        "label_counts": ranked + "SELECT * FROM counts",
-        "rare_labels": ranked + "SELECT * FROM counts WHERE count <= 2",
-        "drop_rare": ranked + """SELECT doc_id, line_no, pos, word, array_to_string(win, ' ') AS "window"
+        "label_counts": lambda: ranked + "SELECT * FROM counts",
+        "rare_labels": lambda: ranked + "SELECT * FROM counts WHERE count <= 2",
+        "drop_rare": lambda: ranked + """SELECT doc_id, line_no, pos, word, array_to_string(win, ' ') AS "window"
             FROM rows_ JOIN counts USING (word) WHERE count > 2""",
-        "label_index": ranked + "SELECT * FROM ranked",
-        "label_words": ranked + "SELECT label, word FROM ranked",
-        "label_lookup": ranked + """SELECT doc_id, line_no, pos, label AS prediction,
+        "label_index": lambda: ranked + "SELECT * FROM ranked",
+        "label_words": lambda: ranked + "SELECT label, word FROM ranked",
+        "label_lookup": lambda: ranked + """SELECT doc_id, line_no, pos, label AS prediction,
             CASE WHEN count > 2 THEN word ELSE '' END AS pred_word FROM rows_ JOIN ranked USING (word)""",
-        "inverse_rank_weights": inverse
+        "inverse_rank_weights": lambda: inverse
         + "SELECT id, word, count, ascc, round(weight, 9) AS weight, round(weight_n, 9) AS weight_n FROM inverse",
-        "stratified_sample": inverse + f"""SELECT doc_id, line_no, pos, word, array_to_string(win, ' ') AS "window"
+        "stratified_sample": lambda: inverse + f"""SELECT doc_id, line_no, pos, word, array_to_string(win, ' ') AS "window"
             FROM rows_ JOIN inverse USING (word) WHERE {hash01(36)} < weight_n""",
-        "hash_split": rows + f"""SELECT doc_id, line_no, pos, word,
+        "hash_split": lambda: rows + f"""SELECT doc_id, line_no, pos, word,
             CASE WHEN {hash01(24)} < 0.7::DOUBLE THEN 'train' ELSE 'test' END AS split FROM rows_""",
-        "top_words": base + "SELECT word, count(*) AS count FROM posts GROUP BY word ORDER BY count DESC, word LIMIT 100",
-        "words_by_length": base + "SELECT DISTINCT word, length(word)::INT AS n_chars FROM posts",
-        "center_distances": """WITH x AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS d,
+        "top_words": lambda: base + "SELECT word, count(*) AS count FROM posts GROUP BY word ORDER BY count DESC, word LIMIT 100",
+        "words_by_length": lambda: base + "SELECT DISTINCT word, length(word)::INT AS n_chars FROM posts",
+        "center_distances": lambda: """WITH x AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS d,
                                           unnest(embedding)::DOUBLE AS v FROM embeddings),
             c AS (SELECT label, d, avg(v) AS v FROM x GROUP BY ALL)
             SELECT vec_id, c.label AS center, round(sqrt(sum((x.v - c.v) * (x.v - c.v))), 6) AS distance
             FROM x JOIN c USING (d) GROUP BY vec_id, c.label""",
-        "knn_graph": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+        "knn_graph": lambda: """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
             SELECT vec_id, rank, neighbor, round(distance, 6) AS distance FROM (
               SELECT a.vec_id, b.vec_id AS neighbor, list_distance(a.v, b.v) AS distance,
                      row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id)::INT AS rank
               FROM e a JOIN e b ON a.vec_id <> b.vec_id) WHERE rank <= 5""",
-        "emb_random": with_(lines(), posts(), toks(), sampled(keep=f"WHERE word NOT IN {stops()}"), windows(), vocab(),
+        "emb_random": lambda: with_(lines(), posts(), toks(), sampled(keep=f"WHERE word NOT IN {stops()}"), windows(), vocab(),
                             TERMS, WEIGHTED, CENTROIDS, random_rows(EMB_DIM)) + wide(EMB_DIM),
-        "vec_text_lines": conv_vec + f"""SELECT 0 AS ord, '' AS word, count(*) || ' {VEC_DIM}' AS line FROM vectors
+        "vec_text_lines": lambda: conv_vec() + f"""SELECT 0 AS ord, '' AS word, count(*) || ' {VEC_DIM}' AS line FROM vectors
             UNION ALL SELECT 1, word, word || ' ' || array_to_string(
               list_transform(vec, lambda x: printf('%.6f', x)), ' ') FROM vectors""",
-        "vec_roundtrip": conv_vec + wide(VEC_DIM),
-        "stream_postings": base + f"SELECT {p4} FROM posts",
+        "vec_roundtrip": lambda: conv_vec() + wide(VEC_DIM),
+        "stream_postings": lambda: base + f"SELECT {p4} FROM posts",
     }
+    out = {}
+    for name, text in texts.items():
+        try:
+            out[name] = text()
+        except Exception:  # one text that can't be built leaves the others
+            logging.getLogger(__name__).exception("no SQL for %s", name)
     return out

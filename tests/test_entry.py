@@ -36,3 +36,21 @@ def test_queries_match_sql(spark, name):
 def test_flagship(spark):
     out = entry.entry(spark)
     assert isinstance(out.toPandas(), pd.DataFrame) and out.columns == ["word", "doc_id", "line_no", "offset", "window"]
+
+
+def test_sql_needs_no_jar_folder(spark, monkeypatch):
+    import pyspark
+
+    import oracle_queries
+    oracle_queries.stops.cache_clear()
+    monkeypatch.setattr(pyspark, "__path__", ["/nowhere"])
+    assert len(oracle_queries.oracle()) >= 49
+
+
+def test_one_bad_text_leaves_the_others(spark, monkeypatch):
+    import oracle_queries
+
+    def broken(*_, **__):
+        raise ValueError("no list")
+    monkeypatch.setattr(oracle_queries, "stops", broken)
+    assert "corpus_lines" in (sql := oracle_queries.oracle()) and "tfidf_windows" not in sql
