@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import query_ordering, query_packing, query_rules, query_sharding
+from . import query_html, query_ordering, query_packing, query_rules, query_sharding, query_urls
 
-MODULES = (query_rules, query_ordering, query_sharding, query_packing)
+MODULES = (query_html, query_rules, query_ordering, query_urls, query_sharding, query_packing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
