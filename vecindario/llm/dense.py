@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..session import cut
 
 
-def numbered(rows: DataFrame, group: str, name: str) -> DataFrame:
+def numbered(rows: DataFrame, group: str, name: str, few: bool = False) -> DataFrame:
     """Add ``name``: 0, 1, ... within each value of the integer column ``group``, in the order of the partitions.
 
     Each task counts as it passes its rows; the counts per task and group (few groups, so tasks x groups
     short rows) are summed up in task order and added. The rows are written once, so a retried task
-    can't number them anew. ``group`` needs a bounded number of values.
+    can't number them anew. ``group`` needs a bounded number of values; with ``few`` it is a handful, and the
+    counts (a few short rows per task) are broadcast, so wide rows aren't shuffled for them.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
 
@@ -38,5 +39,5 @@ def numbered(rows: DataFrame, group: str, name: str) -> DataFrame:
     sizes = counted.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return (counted.join(offsets, [group, "_part"]).withColumn(name, F.col("_before") + F.col("_local"))
+    return (counted.join(F.broadcast(offsets) if few else offsets, [group, "_part"]).withColumn(name, F.col("_before") + F.col("_local"))
             .select(*rows.columns, name))

@@ -34,19 +34,22 @@ PER_SHARD = 4096
 KEY = 20240229
 ROUNDS = 6
 END_TOKEN = 49407  # the file's end of text
-PACKED = "zstd"
 
 SEQUENCE = T.StructType([T.StructField("_all", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("packed", T.BinaryType())])
 
 
+def codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
 def sequences(documents: DataFrame, tokenizer: str, length: int = LENGTH, end_token: int = END_TOKEN, text: str = "text") -> DataFrame:
     """One row per sequence, numbered by ``sequence_id``: the ids (compressed) and how many are not padding."""
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = tokens.chunks(tokenizer).encode, np.array([end_token], dtype="<u2").tobytes()
-        stride, rest = 2 * length, b""
+        stride, rest, pack = 2 * length, b"", codec()
 
         def rows(whole: bytes, sizes: list[int]) -> pa.RecordBatch:
-            parts = [pa.compress(whole[i * stride:(i + 1) * stride], codec=PACKED, asbytes=True) for i in range(len(sizes))]
+            parts = [pack.compress(whole[i * stride:(i + 1) * stride], asbytes=True) for i in range(len(sizes))]
             return pa.RecordBatch.from_arrays([pa.array([0] * len(sizes), pa.int32()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary())], names=SEQUENCE.names)
 
         for batch in batches:
@@ -62,7 +65,7 @@ def sequences(documents: DataFrame, tokenizer: str, length: int = LENGTH, end_to
         if rest:
             yield rows(rest + last * (length - len(rest) // 2), [len(rest) // 2])
 
-    return numbered(documents.select(text).mapInArrow(cut_up, SEQUENCE), "_all", "sequence_id").drop("_all")
+    return numbered(documents.select(text).mapInArrow(cut_up, SEQUENCE), "_all", "sequence_id", few=True).drop("_all")
 
 
 def feistel(number: Column, n: int, key: int = KEY, rounds: int = ROUNDS) -> Column:
@@ -108,6 +111,7 @@ def write_shards(rows: DataFrame, path: str, length: int = LENGTH, per_shard: in
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = pyarrow.fs.FileSystem.from_uri(path)
         system.create_dir(folder, recursive=True)
+        pack = codec()
         own, open_shard, sink = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}", None, None
 
         def close():
@@ -122,7 +126,7 @@ def write_shards(rows: DataFrame, path: str, length: int = LENGTH, per_shard: in
                 if shard != open_shard:
                     close()
                     open_shard, sink = shard, system.open_output_stream(f"{folder}/.{shard}-{own}")
-                raw = pa.decompress(ids.as_buffer(), decompressed_size=2 * length, codec=PACKED, asbytes=True)
+                raw = pack.decompress(ids.as_buffer(), decompressed_size=2 * length, asbytes=True)
                 crcs.append(zlib.crc32(raw))
                 sink.write(raw)
             yield pa.RecordBatch.from_arrays([slot, number, pa.array(slots // per_shard), pa.array(slots % per_shard), size, pa.array(crcs, pa.int64())], names=schema.names)
