@@ -59,14 +59,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def groups(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with about ``limit`` bytes of ``column``, one row at least."""
+def groups(batch: pa.RecordBatch, column: str, limit: int = CHUNK, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``limit`` bytes of ``column`` and at most ``rows`` rows, one row at least."""
     if not batch.num_rows:
         return
     _, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
     start = 0
     while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1)
+        end = min(max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1), start + rows)
         yield batch.slice(start, end - start)
         start = end
 
