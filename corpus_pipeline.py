@@ -1,7 +1,67 @@
-"""Placeholder until the stages exist."""
-STAGES = []
+"""A training corpus in five stages, each on everything that the one before it kept.
+
+Documents that the quality classifier or the language identification rejects go, one document of each class of near
+duplicates stays, documents that hold a benchmark item go, and the rest is packed into sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from vecindario.llm import decontamination, language, near_duplicates, packing, quality_model, tokens
+from vecindario.session import cut, scratch_path
+
+#: Documents scored below are rejected: more likely bad than good, and in no or an unsure language.
+MIN_QUALITY = 0.5
+MIN_LANGUAGE = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents that the classifier, fitted on labelled rows of ``docs``, scores below ``MIN_QUALITY``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    labels = labels.filter(~quality_model.held_out(F.col("doc_id")))
+    stats = cut(quality_model.described(docs.select("doc_id", "text")), "stats")
+    model = quality_model.fit(cut(stats.join(labels, "doc_id"), "training"))
+    scored = quality_model.scored(quality_model.described(docs.withColumn("_text", F.col("text")), "_text"), model)
+    return scored.filter(F.col("score") >= MIN_QUALITY).select(*docs.columns)
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents without a letter or whose likeliest language scores below ``MIN_LANGUAGE``."""
+    model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
+    found = language.predicted(docs.withColumn("_text", F.col("text")), model, "_text")
+    known = (F.col("lang_pred") != language.UNKNOWN) if model.languages else F.lit(True)
+    return found.filter(known & ((F.col("score") >= MIN_LANGUAGE) | F.lit(not model.languages))).select(*docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of copies and near copies."""
+    return near_duplicates.firsts(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents that hold a benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences and places."""
+    return packing.pack(packing.token_pieces(docs, tokens.default_path()))
+
+
+STAGES = [("quality classifier", quality), ("language ID", languages), ("MinHash near-dedup", near_duplicate),
+          ("benchmark decontamination", decontaminate), ("best-fit packing", packed)]
+#: Learned models, sketches and token ids can't be said in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each result but the last is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            path = scratch_path(spark, f"stage{i}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import cut
 from . import sketches as S
@@ -114,8 +114,13 @@ def linked_nodes(buckets: DataFrame, texts: DataFrame, threshold: float) -> Data
         members = remaining.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
 
 
-def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """(``key``, class_id) for every row: the least key among the copies and near copies of its text."""
+def node_of(text: Column) -> Column:
+    """The digest by which equal texts are one node."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def members(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """(``key``, node, component, class_id) for every row: its text's node, the least node and the least key of its class."""
     rows = cut(sketched(documents, key, text, bands), "sketched")
     nodes = cut(rows.groupBy("node").agg(F.min(key).alias("rep"), F.first("bands").alias("bands")), "nodes")
     exploded = nodes.select("node", F.explode("bands").alias("key"))
@@ -123,10 +128,27 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text", thres
     buckets = cut(exploded.join(shared, "key"), "buckets")
     needed = buckets.select("node").distinct().join(nodes.select("node", "rep"), "node")
     bodies = documents.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    fetched = bodies.join(needed, bodies["rep"].eqNullSafe(needed["rep"])).select("node", "text")
-    texts = cut(fetched.filter(F.unhex(F.md5("text")) == F.col("node")).dropDuplicates(["node"]), "texts")
+    fetched = bodies.join(needed, bodies["rep"].eqNullSafe(needed["rep"])).select("node", bodies["text"])
+    texts = cut(fetched.filter(node_of(F.col("text")) == F.col("node")).dropDuplicates(["node"]), "texts")
     found = linked_nodes(buckets, texts, threshold)
     owned = cut(nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "owned")
     least = owned.groupBy("component").agg(F.min("rep").alias("class_id"))
-    by_node = cut(owned.join(least, "component").select("node", "class_id"), "by_node")
-    return rows.select(key, "node").join(by_node, "node").select(key, "class_id")
+    by_node = cut(owned.join(least, "component").select("node", "component", "class_id"), "by_node")
+    return rows.select(key, "node").join(by_node, "node").select(key, "node", "component", "class_id")
+
+
+def classes(documents: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """(``key``, class_id) for every row: the least key among the copies and near copies of its text."""
+    return members(documents, key, **options).select(key, "class_id")
+
+
+def firsts(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each class, all columns: the one with the least key (of several such texts, the least digest)."""
+    own = members(documents, key, text, **options).filter(F.col(key).eqNullSafe(F.col("class_id")))
+    counts = own.groupBy("component", "node").agg(F.first(key).alias("_key"), F.count("*").alias("_n"))
+    chosen = cut(counts.groupBy("component").agg(F.min(F.struct("node", "_key", "_n")).alias("_first")).select("_first.*"), "firsts")
+    rows = documents.withColumn("_node", node_of(F.col(text)))
+    kept = rows.join(chosen, rows["_node"].eqNullSafe(chosen["node"]) & rows[key].eqNullSafe(chosen["_key"]))
+    if chosen.filter("_n > 1").limit(1).count():  # rows that are there several times
+        kept = kept.filter("_n = 1").unionByName(kept.filter("_n > 1").dropDuplicates(["_node"]))
+    return kept.select(*[rows[c] for c in documents.columns])

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import query_html, query_language, query_near, query_ordering, query_packing, query_quality, query_rules, query_sharding, query_urls
+from . import (query_html, query_language, query_leaks, query_near, query_ordering, query_packing, query_quality, query_rules, query_sharding,
+               query_urls)
 
-MODULES = (query_html, query_rules, query_ordering, query_urls, query_quality, query_near, query_language, query_sharding, query_packing)
+MODULES = (query_html, query_rules, query_ordering, query_leaks, query_urls, query_quality, query_near, query_language, query_sharding, query_packing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}

@@ -31,6 +31,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+BETWEEN = _BLANK.copy()  # blanks and all ASCII marks
+BETWEEN[[b for b in range(128) if not chr(b).isalnum()]] = True
 _FOLDED = np.arange(256, dtype=np.uint64)
 _FOLDED[65:91] += np.uint64(32)
 _BYTE = mixed(_FOLDED)
@@ -71,10 +73,20 @@ def groups(batch: pa.RecordBatch, column: str, limit: int = CHUNK, rows: int = 4
         start = end
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with the capital letters U+00C0..U+00DE as small ones; ASCII ones are folded by the hash."""
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1
+    after = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
+    if len(after):
+        data = data.copy()
+        data[after] += 0x20
+    return data
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word in ``data``, and the n + 1 offsets of the texts in that list."""
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = ~_BLANK[data]
+    inside[1:-1] = ~blank[data]
     cut = offsets[1:-1]
     first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     touching = cut[(cut > 0) & (cut < len(data))]
@@ -84,14 +96,14 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and the n + 1 offsets of the texts in that list."""
-    starts, ends, at = word_bounds(data, offsets)
+def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and the n + 1 offsets of the texts in that list. ``blank`` marks the bytes between words."""
+    starts, ends, at = word_bounds(data, offsets, blank)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), at
     sizes = ends - starts
     begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    values = _BYTE[data[~_BLANK[data]]]
+    values = _BYTE[data[~blank[data]]]
     place = np.arange(len(values)) - np.repeat(begin, sizes)
     values *= powers(int(sizes.max()))[place]
     return mixed(np.add.reduceat(values, begin) ^ (sizes.astype(np.uint64) << np.uint64(48))), at
