@@ -35,7 +35,7 @@ def test_predictions_round_trip(spark, corpus, tmp_path):
 
 @pytest.mark.parametrize("kind", [None, NaiveBayes])
 def test_one_vs_rest(corpus, kind):
-    rows = Pr.prepare(Wn.shingle_windows(corpus), keys=KEYS, min_count=2, stratified=True, min_share=0.1)
+    rows = Pr.prepare(Wn.shingle_windows(corpus), keys=KEYS, min_count=8, stratified=True)
     scored = Pr.fit_predict(rows, Pr.one_vs_rest(kind and kind()), num_features=32)
     assert scored.filter("pred_word is null").isEmpty()
 

@@ -58,3 +58,13 @@ def test_hash01_is_stable(spark):
 
 def test_format_vector_has_no_negative_zero(spark):
     assert one(spark, "", T.format_vector(F.array(F.lit(-1e-9), F.lit(0.5)))) == "0.000000 0.500000"
+
+
+def test_shingles_of_a_long_line_are_linear(spark):
+    from pyspark.sql import functions as F
+
+    from vecindario.functions import text as T
+    long = "añb " * 25_000
+    row = spark.createDataFrame([(long,), ("ab",), ("abc",), ("",), ("a\nb😀c",)], "s string").select(T.char_ngrams(F.col("s"), 3).alias("g")).collect()
+    assert row[0].g == [long[i:i + 3] for i in range(len(long) - 2)]
+    assert [r.g for r in row[1:]] == [["ab"], ["abc"], [], ["a\nb", "\nb😀", "b😀c"]]

@@ -105,8 +105,19 @@ def test_sparse_ml_vectors(X, dense):
     rows, size = M.sparse_vectors(X)
     got = {r["word"]: r["features"].toArray() for r in rows.collect()}
     assert size == A.shape[1] and all(np.allclose(got[w], A[i]) for i, w in enumerate(words))
-    hashed, size = M.sparse_vectors(X, max_features=5)
-    assert size == 5 and sum(r["features"].toArray().sum() for r in hashed.collect()) == pytest.approx(A.sum())
+
+
+def test_wide_products_shuffle_the_sparse_side_once(spark, X, dense):
+    words, terms, A = dense
+    k = 70
+    rng = np.random.default_rng(1)
+    block = {t: rng.normal(size=k) for t in terms}
+    wide = spark.createDataFrame([(t, *map(float, v)) for t, v in block.items()], ["term", *[f"c{j}" for j in range(k)]])
+    product = L.multiply(X, wide, by="word", on="term")
+    got = {r["word"]: np.array(list(r)[1:]) for r in product.collect()}
+    want = A @ np.stack([block[t] for t in terms])
+    assert product.columns == ["word", *[f"c{j}" for j in range(k)]]
+    assert all(np.allclose(got[w], want[i]) for i, w in enumerate(words))
 
 
 def brute_knn(ids, v, k):

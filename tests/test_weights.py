@@ -96,8 +96,6 @@ def test_equal_counts_keep_everything(spark):
 def test_rare_labels(spark):
     rows = label_rows(spark, {"a": 6, "b": 3, "c": 1})
     assert {r[0] for r in Lb.drop_rare(rows, min_count=2).select("word").distinct().collect()} == {"a", "b"}
-    pooled = Lb.pool_rare(rows, min_share=0.3)
-    assert {r["word"]: r["count"] for r in Lb.label_counts(pooled).collect()} == {"a": 6, "b": 3, "": 1}
 
 
 def test_label_index_and_decode(spark):
@@ -116,10 +114,3 @@ def test_split_is_complete_and_stable(spark):
     again = {r["key"]: r["split"] for r in Lb.hash_split(rows.repartition(9), ("key",)).collect()}
     assert first == again and len(first) == 500
     assert 0.6 < sum(v == "train" for v in first.values()) / 500 < 0.8
-
-
-def test_ml_stages_run(corpus):
-    windows = P.context_windows(corpus)
-    tf = Wt.ml_hashing_tf(32).transform(windows)
-    assert Wt.ml_idf().fit(tf).transform(tf).count() == windows.count()
-    assert len(Wt.ml_count_vectorizer(min_df=2, max_df=0.95).fit(windows).vocabulary) > 3

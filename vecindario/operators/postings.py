@@ -104,4 +104,4 @@ def in_vocabulary(posts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def missing_words(vocab: DataFrame, posts: DataFrame) -> DataFrame:
     """Vocabulary words without any posting."""
-    return vocab.select(F.col("term").alias("word")).join(posts.select("word"), "word", "left_anti")
+    return vocab.select(F.col("term").alias("word")).join(posts.select("word").distinct(), "word", "left_anti")

@@ -78,9 +78,11 @@ def member_counts(labels: DataFrame, k: int) -> np.ndarray:
 
 
 def member_sums(filled: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """``(term, c0 …)``: sum of the members' weights per center."""
-    sums = [F.sum(F.when(F.col("label") == j, F.col("weight")).otherwise(0.0)).alias(f"c{j}") for j in range(k)]
-    return filled.join(labels, "word").groupBy("term").agg(*sums)
+    """``(term, c0 …)``: sum of the members' weights per center, added up in long form first."""
+    sums = filled.join(labels, "word").groupBy("term", "label").agg(F.sum("weight").alias("s"))
+    cells = sums.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("label", "s"))).alias("m"))
+    row = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.coalesce(F.col("m")[j], F.lit(0.0)))
+    return cells.select("term", row.alias("m")).select("term", *[F.col("m")[j].alias(f"c{j}") for j in range(k)])
 
 
 def blend(centers: DataFrame, sums: DataFrame, seen: np.ndarray, batch: np.ndarray) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -102,15 +101,3 @@ def plain_idf(hashed: DataFrame, windows: DataFrame) -> DataFrame:
     m = windows.agg(F.count("*").cast("double").alias("m")).scalar()
     return hashed.groupBy("bucket").agg(F.count("*").alias("df")).withColumn(
         "idf", F.log((m + 1.0) / (F.col("df") + F.lit(1.0))))
-
-
-def ml_hashing_tf(num_features: int = 1024) -> HashingTF:
-    return HashingTF(inputCol="window", outputCol="tf", numFeatures=num_features)
-
-
-def ml_idf() -> IDF:
-    return IDF(inputCol="tf", outputCol="features")
-
-
-def ml_count_vectorizer(*, min_df: float = 2, max_df: float = 0.95, vocab_size: int = 1 << 18) -> CountVectorizer:
-    return CountVectorizer(inputCol="window", outputCol="tf", minDF=min_df, maxDF=max_df, vocabSize=vocab_size)

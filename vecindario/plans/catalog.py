@@ -19,6 +19,7 @@ LOOKUP_WORDS = ["the", "und", "les", "que"]
 PRUNE = dict(min_df=2, max_df=0.95)
 SHAPES = ("doc_id", "line_no", "pos")
 VEC_DIM, EMB_DIM = 8, 16
+MIN_LABEL, MIN_SHINGLE = 100, 15  # classes are words (shingles) seen more often than this
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -372,19 +373,19 @@ def pca_windows(spark, sf):
 
 
 def predict_center_lr(spark, sf):
-    rows = Pr.prepare(sliding_rows(spark, sf), keys=SHAPES, min_share=0.005)
-    return Pr.fit_predict(rows, Pr.logistic(max_iter=20))
+    rows = Pr.prepare(sliding_rows(spark, sf), keys=SHAPES, min_count=MIN_LABEL)
+    return Pr.fit_predict(rows, Pr.logistic(max_iter=20), keys=SHAPES)
 
 
 def predict_center_pca(spark, sf):
-    rows = Pr.prepare(sliding_rows(spark, sf), keys=SHAPES, min_share=0.005)
-    return Pr.fit_predict(rows, Pr.logistic(max_iter=20), num_features=256, components=3)
+    rows = Pr.prepare(sliding_rows(spark, sf), keys=SHAPES, min_count=MIN_LABEL)
+    return Pr.fit_predict(rows, Pr.logistic(max_iter=20), num_features=256, components=3, keys=SHAPES)
 
 
 def predict_center_ovr(spark, sf):
     rows = Wn.shingle_windows(bench_lines(spark, sf))
-    rows = Pr.prepare(rows, keys=SHAPES, min_count=2, min_share=0.005, stratified=True)
-    return Pr.fit_predict(rows, Pr.one_vs_rest(), num_features=256)
+    rows = Pr.prepare(rows, keys=SHAPES, min_count=MIN_SHINGLE, stratified=True)
+    return Pr.fit_predict(rows, Pr.one_vs_rest(), num_features=256, keys=SHAPES)
 
 
 # streams

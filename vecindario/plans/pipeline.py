@@ -13,10 +13,11 @@ METHODS = ("svd", "random", "nmf", "kmeans", "minibatch", "summaries", "topics",
 
 def word_vectors(lines: DataFrame, method: str = "svd", *, dim: int = 100, samples: int = 50, wsize: int = 10,
                  seed: int = 42, stop: list[str] | None = None, vocab: DataFrame | None = None,
-                 batch_size: int = 100, n_batches: int | None = None) -> DataFrame:
+                 batch_size: int | None = None, n_batches: int | None = 16) -> DataFrame:
     """``(word, vec)`` for every vocabulary word that occurs in ``lines``.
 
-    ``vocab`` may hold weights fitted elsewhere, ``(term, df, idf)``.
+    ``vocab`` may hold weights fitted elsewhere, ``(term, df, idf)``. Mini-batches run one after the other, so
+    their number is fixed unless ``n_batches=None`` and a ``batch_size`` are given.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
