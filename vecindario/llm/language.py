@@ -30,6 +30,7 @@ BUCKETS = 1 << 15
 ORDERS = 3
 BLOCK = 1 << 16
 PER_LANGUAGE = 1000
+SALTS = 64
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 UNKNOWN = "und"
@@ -173,7 +174,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     n = frequencies(labelled, text)
     idf = np.log((n[-1] + 1) / (n[:-1] + 1)) + 1
     ranked = labelled.select(key, lang).withColumn("_order", F.xxhash64(F.col(key).cast("string")))
-    chosen = ranked.withColumn("_nth", F.row_number().over(Window.partitionBy(lang).orderBy("_order", key))).filter(F.col("_nth") <= per_language)
+    chosen = ranked.withColumn("_salt", F.pmod("_order", F.lit(SALTS)))
+    for part in ([lang, "_salt"], [lang]):  # a language that most documents have is first thinned in parts
+        chosen = chosen.withColumn("_nth", F.row_number().over(Window.partitionBy(*part).orderBy("_order", key))).filter(F.col("_nth") <= per_language)
     chosen = cut(chosen.select(key, lang, "_order").distinct(), "chosen")
     sample = labelled.join(F.broadcast(chosen), [key, lang])  # per_language rows of each language
     sample = cut(sample.select(text, lang, F.pmod("_order", F.lit(5)).alias("fold"), "_order").dropDuplicates(["_order", lang]), "sample")
