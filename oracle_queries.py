@@ -116,13 +116,15 @@ SHORT = (r"regexp_replace(regexp_replace(" + MARKED
 SPLIT_WS = r"list_filter(string_split_regex({}, '\s+'), lambda x: x <> '')"
 
 
-def sliding(source: str = "lines", size: int = 5) -> str:
+def sliding(source: str = "lines", size: int = 5, clean: str = CLEAN, keep: str = "true", whole: bool = False) -> str:
     half = size // 2
+    win = "run" if whole else f"list_concat(run[1:{half}], run[{half + 2}:{size}])"
+    tokens = f"list_filter({SPLIT_WS.format(clean)}, lambda x: {keep})"
     return f"""rows_ AS (
-      SELECT doc_id, line_no, pos, run[{half + 1}] AS word, list_concat(run[1:{half}], run[{half + 2}:{size}]) AS win FROM (
+      SELECT doc_id, line_no, pos, run[{half + 1}] AS word, {win} AS win FROM (
         SELECT doc_id, line_no, (i - 1)::INT AS pos, t[i:i + {size - 1}] AS run FROM (
           SELECT doc_id, line_no, t, unnest(range(1, len(t) - {size - 2})) AS i
-          FROM (SELECT doc_id, line_no, {SPLIT_WS.format(CLEAN)} AS t FROM {source}))))"""
+          FROM (SELECT doc_id, line_no, {tokens} AS t FROM {source}))))"""
 
 
 RANKED = """counts AS (SELECT word, count(*) AS count FROM rows_ GROUP BY word),
@@ -198,6 +200,14 @@ def oracle() -> dict[str, str]:
         "kwic_words": lambda: with_(lines(), posts(keep=f"WHERE word IN {lookup}"), toks(), windows("posts"))
         + f"SELECT {p4}, array_to_string(win, ' ') AS \"window\" FROM windows",
         "sliding_windows": lambda: rows + "SELECT doc_id, line_no, pos, word, array_to_string(win, ' ') AS \"window\" FROM rows_",
+        "sliding_windows_stop": lambda: with_(lines(), sliding(keep=f"x NOT IN {stops()}"))
+        + "SELECT doc_id, line_no, pos, word, array_to_string(win, ' ') AS \"window\" FROM rows_",
+        "sliding_windows_ascii": lambda: with_(lines(), sliding(clean=CLEAN.replace(r"\p{L}\p{N}", "A-Za-z0-9")))
+        + "SELECT doc_id, line_no, pos, word, array_to_string(win, ' ') AS \"window\" FROM rows_",
+        "sliding_windows_whole": lambda: with_(lines(), sliding(whole=True))
+        + "SELECT doc_id, line_no, pos, word, array_to_string(win, ' ') AS \"window\" FROM rows_",
+        "context_windows_all": lambda: with_(lines("clines", **CONV), posts(source="clines"), toks("clines"), windows("posts"))
+        + f"SELECT {p4}, array_to_string(win, ' ') AS \"window\" FROM windows",
         "shingle_windows": lambda: with_(lines("clines", **CONV), shingles()) + """
             SELECT doc_id, line_no, pos, run[len(run) // 2 + 1] AS word,
                    array_to_string(list_concat(run[1:len(run) // 2], run[len(run) // 2 + 2:]), '|') AS "window" FROM runs""",

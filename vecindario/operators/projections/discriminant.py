@@ -29,7 +29,7 @@ def discriminant_vectors(window_weights: DataFrame, vocab: DataFrame, *, dim: in
     Terms are first reduced to ``reduced`` columns, so the scatter matrices are small
     sums over tasks: total and between scatter give the within scatter by difference.
     """
-    reduced = min(256, 4 * dim) if reduced is None else reduced
+    reduced = max(dim, min(256, 4 * dim)) if reduced is None else reduced
     if dim > reduced:
         raise ValueError("dim must not exceed the reduced number of columns")
     window_weights = cut(window_weights.select(*keys, "term", "weight"), "weights")

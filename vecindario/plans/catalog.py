@@ -141,6 +141,22 @@ def sliding_windows(spark, sf):
     return joined(sliding_rows(spark, sf))
 
 
+def sliding_windows_stop(spark, sf):
+    return joined(Wn.token_windows(doc_lines(spark, sf), stop=T.stop_words()))
+
+
+def sliding_windows_ascii(spark, sf):
+    return joined(Wn.token_windows(doc_lines(spark, sf), ascii_only=True))
+
+
+def sliding_windows_whole(spark, sf):
+    return joined(Wn.token_windows(doc_lines(spark, sf), exclude_center=False))
+
+
+def context_windows_all(spark, sf):
+    return joined(P.context_windows(conv_lines(spark, sf), samples=0))
+
+
 def shingle_windows(spark, sf):
     rows = Wn.shingle_windows(conv_lines(spark, sf))
     return rows.withColumn("window", F.array_join("window", "|"))
@@ -410,7 +426,8 @@ def stream_centers(spark, sf):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     corpus_lines, stack_corpora, clean_text, clean_text_short, tokens, tokens_ws, tokens_nostop, char_ngrams,
     postings, postings_lookup, postings_to_lines, coo_codec, sampled_postings, context_windows, kwic_words,
-    sliding_windows, shingle_windows, batch_ids, vocab_size, doc_freq, vocab_pruned, vocab_postings, missing_words,
+    sliding_windows, sliding_windows_stop, sliding_windows_ascii, sliding_windows_whole, context_windows_all,
+    shingle_windows, batch_ids, vocab_size, doc_freq, vocab_pruned, vocab_postings, missing_words,
     windows_per_word, tfidf_windows, tfidf_external_idf, count_windows, window_vectors, word_centroids, hashing_tf,
     plain_idf, sparse_matmul, label_counts, rare_labels, drop_rare, label_index, label_words, label_lookup,
     inverse_rank_weights, stratified_sample, hash_split, top_words, words_by_length, center_distances, knn_graph,
