@@ -3,15 +3,14 @@
 1. Exact copies fold to one node by the digest of their text, so a text that a third of all rows share costs one node.
 2. Each text's sketch of 120 registers gives 24 band keys; texts that share a key are candidates. Two texts
    with similarity 0.8 share a key with probability 0.9999.
-3. In each bucket one leader is compared with the others by the exact probability Jaccard similarity of
-   5-word shingles weighted by their counts, so a bucket of n texts gives n - 1 pairs and never n². The leader is the
-   member that shares most buckets with others: in a group of edited copies this is their common source. Then
-   leaders leave and buckets whose members are in one class already are done; the next leaders follow, until a
-   round links nothing.
-4. What is left in buckets of up to ``SMALL`` texts is compared pair by pair across classes.
+3. Candidates are verified by the exact probability Jaccard similarity of 5-word shingles weighted by their counts.
+   In buckets of up to ``SMALL`` texts all pairs are (so at most that many for each text); in a larger one, one
+   leader is compared with the others, so n texts give n - 1 pairs and never n². The leader is the member that
+   shares most buckets with others: in a group of edited copies this is their common source. Then the leaders leave,
+   buckets whose members are in one class are done, and the next leaders follow until a round links nothing.
 
-Classes are connected components of verified links. A link inside a larger bucket that is left in step 4 and whose
-two ends no leader joins is found only through another bucket.
+Classes are connected components of verified links. A link inside a large bucket whose two ends no leader
+joins is found only through another bucket.
 
 Edge cases: null texts count as empty; texts without a word are equal only to exact copies; texts of fewer than five
 words are one shingle; repeated rows are copies; null keys pass through; an empty table gives an empty result.
@@ -58,9 +57,9 @@ def sketched(documents: DataFrame, key: str = "doc_id", text: str = "text", band
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v, similarity) of node pairs; ``texts`` has (node, text)."""
+    """(u, v, cu, cv, similarity) of node pairs (u, v, cu, cv); ``texts`` has (node, text)."""
     right = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("right")), "v")
-    whole = right.join(texts.select(F.col("node").alias("u"), F.col("text").alias("left")), "u").select("u", "v", "left", "right")
+    whole = right.join(texts.select(F.col("node").alias("u"), F.col("text").alias("left")), "u").select("u", "v", "left", "right", "cu", "cv")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,45 +72,47 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         at = np.searchsorted(owner, np.arange(n + 1))
                         sides.append([(ids[a:b], weights[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)])
                     found = [S.similarity(a, b) for a, b in zip(*sides, strict=True)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.float64())], names=["u", "v", "similarity"])
+                    yield pa.RecordBatch.from_arrays([*[part.column(i) for i in (0, 1, 4, 5)], pa.array(found, pa.float64())], names=["u", "v", "cu", "cv", "similarity"])
 
-    return whole.mapInArrow(compare, "u binary, v binary, similarity double")
+    return whole.mapInArrow(compare, "u binary, v binary, cu binary, cv binary, similarity double")
 
 
-def ordered(a, b) -> list:
-    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+def candidates(rows: DataFrame, tops: DataFrame | None) -> DataFrame:
+    """Pairs across classes of ``rows`` (key, node, component): each with its bucket's leader, or all if there is none."""
+    if tops is None:
+        other = rows.select("key", F.col("node").alias("other"), F.col("component").alias("there"))
+        pairs = rows.join(other, "key").filter("node < other")
+    else:
+        pairs = rows.join(tops, "key").select("node", "component", F.col("top.node").alias("other"), F.col("top.component").alias("there"))
+    return pairs.filter("component <> there").select(
+        F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"), F.col("component").alias("cu"), F.col("there").alias("cv"))
 
 
 def linked_nodes(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(node, component) of the nodes that have a verified link; ``buckets`` has (key, node) with two nodes a key at least."""
-    tested = links = None
-    members = buckets.withColumn("component", F.col("node"))
+    """(node, component) of the nodes that have a verified link; ``buckets`` has (key, n, node, score), n nodes a key and two at least."""
+    rows = buckets.withColumn("component", F.col("node"))
+    large = rows.filter(F.col("n") > SMALL).drop("n")
+    pairs, tested = candidates(rows.filter(F.col("n") <= SMALL), None), None
     while True:
-        several = members.groupBy("key").agg(F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("open")).filter("open").drop("open")
-        open_rows = cut(members.join(several, "key"), "open")
-        scores = open_rows.groupBy("node").agg(F.sum("n").alias("score"))
-        ranked = open_rows.join(scores, "node")
-        leaders = cut(ranked.groupBy("key").agg(F.max(F.struct("score", "node", "component")).alias("top")).select(
-            "key", F.col("top.node").alias("leader"), F.col("top.component").alias("led")), "leaders")
-        compared = open_rows.join(leaders, "key")
-        pairs = compared.filter("component <> led").select(*ordered(F.col("leader"), F.col("node"))).distinct()
+        tops = large.groupBy("key").agg(F.max(F.struct("score", "node", "component")).alias("top"),
+                                        (F.min("component") < F.max("component")).alias("open")).filter("open").drop("open")
+        tops = cut(tops, "leaders")
+        by_leader = candidates(large, tops)
+        pairs = (by_leader if pairs is None else pairs.unionByName(by_leader)).dropDuplicates(["u", "v"])
         if tested is not None:
             pairs = pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
         found = cut(verified(pairs, texts).withColumn("linked", F.col("similarity") >= threshold), "verified")
-        if not found.filter("linked").limit(1).count():
-            small = open_rows.filter(F.col("n") <= SMALL).select("key", "node", "component")
-            other = small.select("key", F.col("node").alias("other"), F.col("component").alias("there"))
-            rest = small.join(other, "key").filter("node < other and component <> there").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct()
-            if tested is not None:
-                rest = rest.join(tested.unionByName(found).select("u", "v"), ["u", "v"], "left_anti")
-            found = cut(verified(rest, texts).withColumn("linked", F.col("similarity") >= threshold), "rest")
-            links = found.filter("linked") if links is None else links.unionByName(found.filter("linked"))
-            return components(links.select("u", "v"))
         tested = found if tested is None else tested.unionByName(found)
-        links = tested.filter("linked")
-        classes = cut(components(links.select("u", "v")), "classes")
-        remaining = compared.filter("node <> leader").select("key", "node")
-        members = remaining.join(classes, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        new = found.filter("linked")
+        if not new.limit(1).count():
+            return components(tested.filter("linked").select("u", "v"))
+        remaining = large.join(tops, "key").filter(F.col("node") != F.col("top.node")).drop("top")
+        if not remaining.limit(1).count():
+            return components(tested.filter("linked").select("u", "v"))
+        moved = components(new.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        moved = moved.select(F.col("node").alias("component"), F.col("component").alias("now"))
+        large = cut(remaining.join(moved, "component", "left").select("key", "node", "score", F.coalesce("now", "component").alias("component")), "large")
+        pairs = None
 
 
 def node_of(text: Column) -> Column:
@@ -124,13 +125,14 @@ def members(documents: DataFrame, key: str = "doc_id", text: str = "text", thres
     rows = cut(sketched(documents, key, text, bands), "sketched")
     nodes = cut(rows.groupBy("node").agg(F.min(key).alias("rep"), F.first("bands").alias("bands")), "nodes")
     exploded = nodes.select("node", F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = exploded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = cut(exploded.join(shared, "key"), "buckets")
-    needed = buckets.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    scores = cut(buckets.groupBy("node").agg(F.sum("n").alias("score")), "scores")
+    needed = scores.select("node").join(nodes.select("node", "rep"), "node")
     bodies = documents.select(F.col(key).alias("rep"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     fetched = bodies.join(needed, bodies["rep"].eqNullSafe(needed["rep"])).select("node", bodies["text"])
     texts = cut(fetched.filter(node_of(F.col("text")) == F.col("node")).dropDuplicates(["node"]), "texts")
-    found = linked_nodes(buckets, texts, threshold)
+    found = linked_nodes(cut(buckets.join(scores, "node"), "scored"), texts, threshold)
     owned = cut(nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "owned")
     least = owned.groupBy("component").agg(F.min("rep").alias("class_id"))
     by_node = cut(owned.join(least, "component").select("node", "component", "class_id"), "by_node")
