@@ -100,3 +100,79 @@ def test_classes_equal_brute_force(spark, parts):
 
 def test_empty_table(spark):
     assert N.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def joined_classes(texts, threshold=0.8):
+    """The least index of each text's class, over all pairs by the definition."""
+    bags, parent = [bag(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = sum(bags[i][d] for d in bags[i].keys() & bags[j].keys()) / sum(bags[i].values())  # no term is above its share
+            if shared >= threshold and find(i) != find(j) and brute(bags[i], bags[j]) >= threshold:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {i: find(i) for i in range(len(texts))}
+
+
+def chain_and_clusters():
+    """A chain of successive edits, two clusters of one half in common, and repeated lines."""
+    rng = random.Random(5)
+    chain = [words(rng, 120)]
+    for i in range(59):
+        chain.append(list(chain[-1]))
+        chain[-1][(i * 7) % 120] = f"step{i}"
+    half = words(rng, 70)
+    sources = [half + words(rng, 50) for _ in range(2)]
+    clusters = []
+    for i in range(60):
+        copy = list(sources[i % 2])
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(70, 120)] = "edit" + str(rng.random())
+        clusters.append(copy)
+    lines = [words(rng, 12) * 4 + words(rng, 60) for _ in range(2)]
+    repeated = [lines[i % 2] + ["end" + str(i)] for i in range(8)]
+    return [" ".join(t) for t in chain + clusters + repeated]
+
+
+def one_bucket(spark, texts):
+    """All texts in one bucket, without a leader that stands out."""
+    nodes = spark.createDataFrame([(i.to_bytes(2), t) for i, t in enumerate(texts)], "node binary, text string")
+    return nodes.selectExpr("1L as key", f"{len(texts)}L as n", "node", "1L as score"), nodes
+
+
+def in_full(spark, texts, linked):
+    got = {i: i for i in range(len(texts))}
+    return got | {int.from_bytes(r.node): int.from_bytes(r.component) for r in linked.collect()}
+
+
+@pytest.mark.parametrize("block", [256, 24])
+def test_large_bucket_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block, raising=False)
+    texts = chain_and_clusters()
+    random.Random(6).shuffle(texts)
+    assert in_full(spark, texts, N.linked_nodes(*one_bucket(spark, texts), 0.8)) == joined_classes(texts)
+
+
+def test_bucket_stays_open_after_a_round_without_links(spark):
+    rng = random.Random(7)
+    base = words(rng, 100)
+    texts = [" ".join(base[:50] + words(rng, 50)) for _ in range(40)]  # all alone, and so is the leader
+    texts = [" ".join(base), " ".join(base[:-1] + ["other"])] + texts
+    want = joined_classes(texts)
+    assert want[1] == 0 and len(set(want.values())) == 41
+    assert in_full(spark, texts, N.linked_nodes(*one_bucket(spark, texts), 0.8)) == want
+
+
+def test_bounds_are_above_similarities():
+    rng = random.Random(8)
+    texts = chain_and_clusters()[::5] + [" ".join(words(rng, 5) * rng.randint(1, 6) + words(rng, 30)) for _ in range(10)]
+    owner, ids, weights = S.bags(*buffers(pa.array(texts)))
+    bags = [(ids[owner == i], weights[owner == i]) for i in range(len(texts))]
+    bounds = N.most_similar(bags, bags)
+    exact = np.array([[S.similarity(a, b) for b in bags] for a in bags])
+    assert (bounds >= exact - 1e-5).all() and np.allclose(np.diag(bounds), 1)
