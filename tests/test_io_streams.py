@@ -1,13 +1,16 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import NaiveBayes
 
 from vecindario.operators import centroids as Ce, postings as P, windows as Wn
-from vecindario.plans import predict as Pr
+from vecindario.plans import catalog as Q, predict as Pr
 from vecindario.sources import corpus as C, vectors as V
 from vecindario.streaming import centers as SC, postings as SP
 
 KEYS = ("doc_id", "line_no", "pos")
+SF = "/root/testdata/sf0.001"
 
 
 def test_vector_files(spark, tmp_path):
@@ -40,6 +43,29 @@ def test_one_vs_rest(corpus, kind):
     assert scored.filter("pred_word is null").isEmpty()
 
 
+def test_fit_is_bounded_and_every_test_window_scored(corpus):
+    rows = Pr.prepare(Wn.token_windows(corpus, size=3), keys=KEYS)
+    scored = Pr.fit_predict(rows, NaiveBayes(), num_features=32, keys=KEYS, max_fit_rows=20).collect()
+    assert len(scored) == rows.filter("split = 'test'").count()
+    assert any(r.label is None for r in scored)
+    numbers = {r.label for r in scored if r.label is not None}
+    assert max(numbers) < 20 and all(r.pred_word for r in scored)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
+@pytest.mark.parametrize("name", ["predict_center_lr", "predict_center_pca", "predict_center_ovr"])
+def test_queries_drop_no_labels(spark, monkeypatch, name):
+    def only_rows(rows, classifier, **options):
+        return rows
+    monkeypatch.setattr(Q.Pr, "fit_predict", only_rows)
+    rows = Q.QUERIES[name](spark, SF)
+    if name == "predict_center_ovr":
+        counts = Wn.shingle_windows(Q.bench_lines(spark, SF)).groupBy("word").count().filter("count > 2")
+        assert rows.select("word").distinct().join(counts, "word").count() > counts.filter("count <= 15").count() > 0
+    else:
+        assert rows.count() == Q.sliding_rows(spark, SF).count()
+
+
 def test_pca(corpus):
     windows = Wn.token_windows(corpus, size=3)
     out = Pr.pca_windows(windows, k=2, num_features=32)

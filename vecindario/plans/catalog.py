@@ -19,7 +19,7 @@ LOOKUP_WORDS = ["the", "und", "les", "que"]
 PRUNE = dict(min_df=2, max_df=0.95)
 SHAPES = ("doc_id", "line_no", "pos")
 VEC_DIM, EMB_DIM = 8, 16
-MIN_LABEL, MIN_SHINGLE = 100, 15  # classes are words (shingles) seen more often than this
+MIN_SHINGLE = 2  # shingles seen this often or less are no classes of predict_center_ovr
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -389,12 +389,12 @@ def pca_windows(spark, sf):
 
 
 def predict_center_lr(spark, sf):
-    rows = Pr.prepare(sliding_rows(spark, sf), keys=SHAPES, min_count=MIN_LABEL)
+    rows = Pr.prepare(sliding_rows(spark, sf), keys=SHAPES)
     return Pr.fit_predict(rows, Pr.logistic(max_iter=20), keys=SHAPES)
 
 
 def predict_center_pca(spark, sf):
-    rows = Pr.prepare(sliding_rows(spark, sf), keys=SHAPES, min_count=MIN_LABEL)
+    rows = Pr.prepare(sliding_rows(spark, sf), keys=SHAPES)
     return Pr.fit_predict(rows, Pr.logistic(max_iter=20), num_features=256, components=3, keys=SHAPES)
 
 
