@@ -68,7 +68,7 @@ def test_planted_items_are_found_and_clean_documents_left(spark, monkeypatch, bl
     docs, items, truth = corpus()
     rows = [(i, d, "x", 0.5) for i, d in enumerate(docs)] + [(900, None, "x", 0.5), (901, "", None, 0.5)] + [(0, docs[0], "x", 0.5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, item_id string, score double").repartition(4)
-    bench = spark.createDataFrame(list(enumerate(items)) + [(500, None), (501, "the of")], "item_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)) + [(500, None), (501, "?!")], "item_id long, text string")
     got = D.leaks(df, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == truth and len(got) == len(truth) + 1
     assert all(r.score >= 0.6 for r in got)
@@ -89,3 +89,32 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.leaks(docs, none).count() == 0 and D.clean(docs, none).count() == 1
     assert D.leaks(docs.limit(0), spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")).count() == 0
+
+
+def test_scores_do_not_depend_on_blocks(spark):
+    docs, items, truth = corpus()
+    benchmark = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    documents = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string").repartition(3)
+    found = [sorted(map(tuple, D.leaks(documents, benchmark, block_items=n).collect())) for n in (17, 20_000)]
+    assert found[0] == found[1] and truth <= {r[:2] for r in found[0]}
+
+
+def test_short_items_count_only_in_a_row(spark):
+    benchmark = spark.createDataFrame([(0, "Which Kalo? mira tesa"), (1, "rumi"), (2, "..."), (3, None), (4, "a long item " + " ".join(words(random.Random(3), 20)))],
+                                      "item_id long, text string")
+    documents = spark.createDataFrame([(0, "so: WHICH kalo, mira\ntesa now"), (1, "mira which kalo and tesa"), (2, "x rumi y " * 5000), (3, "nothing"), (4, None), (5, "")],
+                                      "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.leaks(documents, benchmark).collect()} == {(0, 0), (2, 1)}
+    assert {r.doc_id for r in D.clean(documents, benchmark).collect()} == {1, 3, 4, 5}
+
+
+def test_items_with_a_short_answer_are_found(spark):
+    question = "what is the " + " ".join(words(random.Random(5), 12)) + "?"
+    benchmark = spark.createDataFrame([(0, question + " Kalote")], "item_id long, text string")
+    documents = spark.createDataFrame([(0, f"x {question}\nkalote."), (1, f"x {question}\nother.")], "doc_id long, text string")
+    assert [(r.doc_id, r.answer_overlap) for r in D.leaks(documents, benchmark).collect()] == [(0, 1.0)]
+
+
+def test_whole_benchmark_without_words(spark):
+    documents = spark.createDataFrame([(0, "text")], "doc_id long, text string")
+    assert D.leaks(documents, spark.createDataFrame([(0, "?!")], "item_id long, text string")).collect() == []

@@ -24,11 +24,11 @@ def test_ids_equal_the_tokenizer():
 
 
 def test_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 50)
-    mine = tokens.Chunks(PATH)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 64 * 300)
+    mine, plain = tokens.Chunks(PATH), tokens.Chunks(PATH)
     for i in range(500):
-        mine.encode(f"w{i} v{i}")
-        assert len(mine) <= 50
+        assert mine.encode(f"w{i} v{i % 7} {'long' * i}") == b"".join(plain[c] for c in (f"w{i}", f"v{i % 7}", "long" * i))
+        assert mine.held <= 32 * 300 and len(mine) + len(mine.older) <= 80 and max(map(len, mine)) < 300
 
 
 def subset(room, counts):

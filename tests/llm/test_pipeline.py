@@ -76,3 +76,27 @@ def test_one_row_of_each_class(spark):
     got = collections.Counter((r.doc_id, r.text) for r in N.firsts(df).collect())
     assert got == collections.Counter([rows[0], rows[3], rows[4], rows[5], rows[6]])
     assert quality_model.Model().score(quality_model.np.zeros((1, len(quality_model.STATISTICS)))).tolist() == [0.5]
+
+
+CLASHES = ["score", "stats", "lang_pred", "_text", "_node", "_row", "node", "label", "class_id", "component", "held_out", "length"]
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, name in enumerate(CLASHES):
+        docs = docs.withColumn(name, C.F.concat(C.F.lit(f"{i}-"), C.F.col("doc_id").cast("string")))
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        rows = out.select("doc_id", *CLASHES).collect()
+        assert rows and all(tuple(r[1:]) == tuple(f"{i}-{r.doc_id}" for i in range(len(CLASHES))) for r in rows)
+    assert C.packed(spark, docs, str(tmp_path)).count() >= docs.count()
+
+
+def test_texts_without_letters_go_and_clean_ones_stay(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").filter("doc_id < 1000")
+    planted = spark.createDataFrame([(5000, "12345 --- 777", None, "s", 3), (5001, "", None, "s", 0)], docs.schema)
+    kept = {r.doc_id for r in C.languages(spark, docs.unionByName(planted), str(tmp_path)).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}

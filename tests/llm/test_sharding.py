@@ -46,6 +46,52 @@ def test_a_group_of_a_third_of_all_rows_is_split(spark):
     assert max(load.values()) <= 1.02 * min(load.values()) and max(rows.values()) <= 1.1 * min(rows.values())
 
 
+def test_only_groups_beyond_a_shard_are_split(spark):
+    rng = random.Random(7)
+    texts = [f"text {i} " + "word\n" * rng.randint(0, 60) for i in range(2500)]
+    for k, n in enumerate((2, 3, 20, 60, 150, 300)):
+        texts += [f"group {k} " + "copied\t" * (10 + 5 * k)] * n
+    rng.shuffle(texts)
+    load, shards, rows, tokens = collections.Counter(), collections.defaultdict(set), collections.Counter(), collections.Counter()
+    for r in checked(spark, texts):
+        shards[texts[r.doc_id]].add(r.shard)
+        load[texts[r.doc_id]] += r.size
+        rows[r.shard] += 1
+        tokens[r.shard] += r.tokens
+    total, copies = sum(load.values()), collections.Counter(texts)
+    assert all(len(s) == 1 for t, s in shards.items() if load[t] <= total / 16 and copies[t] <= len(texts) / 16)
+    assert max(tokens.values()) <= 1.05 * min(tokens.values())
+
+
+def naive(vectors, shards):
+    """The same rule written out with plain loops."""
+    total = [sum(v[d] for v in vectors) or 1 for d in range(3)]
+    scaled = [[v[d] / total[d] * shards for d in range(3)] for v in vectors]
+    residual, out = [[1.0] * 3 for _ in range(shards)], {}
+    for i in sorted(range(len(vectors)), key=lambda i: (-max(scaled[i]), i)):
+        dots = [sum(r[d] * scaled[i][d] for d in range(3)) for r in residual]
+        fits = [s for s in range(shards) if all(residual[s][d] >= scaled[i][d] for d in range(3))] or range(shards)
+        best = max(fits, key=lambda s: (dots[s], -s))
+        residual[best] = [residual[best][d] - scaled[i][d] for d in range(3)]
+        out[i] = best
+    return [out[i] for i in range(len(vectors))]
+
+
+def test_placing_equals_plain_loops(monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = rng.lognormal(0, 1.5, (400, 3))
+    vectors[50:60] = vectors[50]  # ties
+    monkeypatch.setattr(S, "levelled", lambda scaled, residual, out: out)
+    assert S.place(vectors, 8).tolist() == naive(vectors.tolist(), 8)
+
+
+def test_levelling_never_widens_a_gap():
+    rng = np.random.default_rng(4)
+    vectors = rng.lognormal(0, 1, (3000, 3))
+    loads = np.array([vectors[S.place(vectors, 16) == s].sum(axis=0) for s in range(16)]) / vectors.sum(axis=0) * 16
+    assert np.ptp(loads, axis=0).max() < 0.01
+
+
 def test_small_and_empty_tables(spark):
     checked(spark, ["a"])
     checked(spark, [None, None])

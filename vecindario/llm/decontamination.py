@@ -7,31 +7,36 @@ BM25 divided by the score that an item gives itself, so one threshold serves sho
 * Before any scoring, windows are bounded all at once: an item's commonest words make up at most half of the
   threshold, so a window without enough of the item's other words can't reach it. This drops no window that could.
 * For the others, block-max WAND walks the posting lists and returns every item at or above the threshold.
-* A hit counts if the window has enough of the three-word runs of the item's question, and of its answer.
+* A hit counts if the window has enough of the three-word runs of the item's question, and of its answer; an item of
+  fewer than ``SHORT`` words counts only if all its words stand in a row.
 
-The index holds ``BLOCK_ITEMS`` items; more items make more indexes and as many scans, so what is sent to the tasks
-is bounded. Documents are never shuffled.
+The number of items, their mean length, the longest one and each word's document frequency are counted over all items
+before any index is built. An index holds about ``BLOCK_ITEMS`` items, chosen by hash; more items make more indexes and as
+many scans, so what is sent to the tasks is bounded, and no score depends on the blocks. Documents are never shuffled.
 
-Edge cases: null and empty texts have no passage; words are split at blanks and ASCII marks and compared in lower
-case; items of fewer than ``MIN_WORDS`` words are no evidence and are left out; repeated items are all reported;
-repeated rows are judged one by one; an empty benchmark finds nothing.
+Edge cases: null and empty texts have no passage; a very long text has many windows, taken whole; words are split at
+blanks and ASCII marks and compared in lower case; items without a word are no evidence and are left out; repeated items
+are all reported, a pair of row and item with its best window (ties: the first); repeated rows are judged one by one; an
+empty benchmark finds nothing. ``leaks`` reads only the named columns, ``clean`` keeps all columns as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import cut
 from .textarrays import BETWEEN, buffers, folded, groups, shingles, word_hashes
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.6
 RUN = 3
-MIN_WORDS = 8
+SHORT = 8
 POSTINGS_PER_BLOCK = 8
 BLOCK_ITEMS = 20_000
 END = np.iinfo(np.int64).max
@@ -42,6 +47,11 @@ def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(folded(data), offsets, BETWEEN)
 
 
+def in_runs(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words, or of all words if there are fewer."""
+    return shingles(words, np.array([0, len(words)]), max(1, min(width, len(words))))[0]
+
+
 def question_of(text: Column) -> Column:
     """Up to the last question mark that has text behind it, or else the first two thirds of the words."""
     words = F.split(F.trim(text), r"\s+")
@@ -61,28 +71,44 @@ def parts_of(items: DataFrame, item: str, text: str, question: str | None, answe
     return items.select(F.col(item).alias("item"), question_of(body).alias("question"), rest.alias("answer"))
 
 
+@dataclass
+class Counts:
+    """Over all items: their number, mean and greatest number of words, and the number of items with each word of a block."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[int, int]
+
+
 class Index:
     """Posting lists of the items' words, with the highest impact of each block of postings."""
 
-    def __init__(self, items: list, questions: list[str], answers: list[str]):
+    def __init__(self, items: list, questions: list[str], answers: list[str], counts: Counts | None = None):
         parts = [hashed(pa.array(x, pa.string())) for x in (questions, answers)]
-        runs = [shingles(*p, RUN) for p in parts]
         sizes = np.diff(parts[0][1]) + np.diff(parts[1][1])
-        keep = np.flatnonzero(sizes >= MIN_WORDS)
+        keep = np.flatnonzero(sizes > 0)
         self.items = [items[i] for i in keep]
-        self.runs = [[np.unique(h[at[i]:at[i + 1]]) for i in keep] for h, at in runs]
-        self.longest = int(sizes[keep].max()) if len(keep) else 0
+        self.runs = [[np.unique(in_runs(h[at[i]:at[i + 1]], RUN)) for i in keep] for h, at in parts]
+        self.longest = counts.longest if counts else int(sizes.max(initial=0))
         if not len(keep):
             return
+        self.short = {}  # item number -> words and hash of a short item
+        for number, i in enumerate(keep):
+            if sizes[i] < SHORT:
+                whole = np.concatenate([h[at[i]:at[i + 1]] for h, at in parts])
+                self.short[number] = len(whole), in_runs(whole, SHORT)[0]
         bags = [np.unique(np.concatenate([h[at[i]:at[i + 1]] for h, at in parts]), return_counts=True) for i in keep]
         self.words = np.unique(np.concatenate([b[0] for b in bags]))
         term = np.concatenate([np.searchsorted(self.words, b[0]) for b in bags])
         owner = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
         tf = np.concatenate([b[1] for b in bags]).astype(float)
-        df = np.bincount(term, minlength=len(self.words))
-        idf = np.log1p((len(bags) - df + 0.5) / (df + 0.5))
         length = np.bincount(owner, weights=tf)
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / length.mean()))
+        df, n, mean = np.bincount(term, minlength=len(self.words)), len(bags), length.mean()
+        if counts:
+            df, n, mean = np.array([counts.df[w] for w in self.words.view(np.int64).tolist()]), counts.n, counts.mean
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / mean))
         impact /= np.bincount(owner, weights=impact)[owner]
         order = np.lexsort((owner, term))
         self.at = np.searchsorted(term[order], np.arange(len(self.words) + 1))
@@ -173,12 +199,19 @@ class Index:
             r = int(np.searchsorted(first, w, side="right") - 1)
             start = int(at[r] + (w - first[r]) * step)
             end = int(min(start + 2 * step, at[r + 1]))
-            runs = np.unique(np.concatenate([shingles(hashes[start:end], np.array([0, end - start]), n)[0] for n in range(1, RUN + 1)]))
+            runs = np.unique(np.concatenate([in_runs(hashes[start:end], n) for n in range(1, RUN + 1)]))
             for item, score in hits:
                 overlap = [np.isin(x[item], runs).mean() if len(x[item]) else 1.0 for x in self.runs]
-                if min(overlap) >= OVERLAP:
+                if min(overlap) >= OVERLAP and self.in_a_row(item, hashes[start:end]):
                     yield r, item, score, *map(float, overlap)
 
+    def in_a_row(self, item: int, window: np.ndarray) -> bool:
+        """Whether a short item's words stand in a row in ``window``; other items pass."""
+        if item not in self.short:
+            return True
+        width, whole = self.short[item]
+        return len(window) >= width and bool((in_runs(window, width) == whole).any())
+
 
 class Postings:
     """A posting list with a place in it."""
@@ -202,17 +235,37 @@ class Postings:
         self.item = int(self.items[self.at]) if self.at < len(self.items) else END
 
 
-def indexes(items: DataFrame, item: str = "item_id", text: str = "text", question: str | None = None, answer: str | None = None) -> Iterator[Index]:
-    """One index per ``BLOCK_ITEMS`` items, read block by block."""
+def bags(parts: DataFrame) -> DataFrame:
+    """(part, n, words): the block, number of words and distinct word hashes of each item with a word."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in groups(batch, "question"):
+                halves = [hashed(part.column(i)) for i in (1, 2)]
+                rows = [np.concatenate([h[at[i]:at[i + 1]] for h, at in halves]) for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in rows], pa.int32()),
+                                                  pa.array([np.unique(x).view(np.int64).tolist() for x in rows], pa.list_(pa.int64()))], names=["part", "n", "words"])
+
+    return parts.select("part", "question", "answer").mapInArrow(split, "part int, n int, words array<bigint>").filter("n > 0")
+
+
+def indexes(items: DataFrame, item: str = "item_id", text: str = "text", question: str | None = None, answer: str | None = None,
+            block_items: int = BLOCK_ITEMS) -> Iterator[Index]:
+    """One index for each block of about ``block_items`` items."""
     rows = parts_of(items, item, text, question, answer)
-    held: list = []
-    for r in rows.toLocalIterator():
-        held.append(r)
-        if len(held) == BLOCK_ITEMS:
-            yield Index(*map(list, zip(*held, strict=True)))
-            held = []
-    if held:
-        yield Index(*map(list, zip(*held, strict=True)))
+    blocks = max(1, -(-rows.count() // block_items))
+    rows = cut(rows.withColumn("part", F.pmod(F.xxhash64("item", "question", "answer"), F.lit(blocks)).cast("int")), "items")
+    words = cut(bags(rows), "bags")
+    whole = words.agg(F.count("*").alias("n"), F.avg("n").alias("mean"), F.max("n").alias("longest")).first()
+    if not whole.n:
+        return
+    df = cut(words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "frequencies")
+    for part in range(blocks):
+        own = words.filter(F.col("part") == part).select(F.explode("words").alias("word")).distinct()
+        found = {r.word: r.df for r in df.join(own, "word").collect()}  # words of one block
+        held = rows.filter(F.col("part") == part).select("item", "question", "answer").orderBy("item", "question", "answer").collect()
+        if found:
+            yield Index(*map(list, zip(*held, strict=True)), Counts(whole.n, whole.mean, whole.longest, found))
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", **names) -> DataFrame:

@@ -6,8 +6,11 @@ The program needs only the count of each length (at most ``capacity`` of them),
 with the input: each combination uses up one length at least. Places follow from each piece's number
 within its length, without any join on bins.
 
-Edge cases: a null text is empty and becomes one piece of the end token; repeated rows are packed one by one;
-lengths outside 1..capacity are an error; an empty table gives an empty result.
+Edge cases: a null text is empty and becomes one piece of the end token; a very long text is cut into many pieces, and
+texts are encoded in groups of about a megabyte, so memory follows the longest text and not the batch; pieces of equal
+length are ties, and take their places in the order of the partitions; repeated rows are packed one by one;
+lengths outside 1..capacity are an error; an empty table gives an empty result. ``token_pieces`` returns only the key and
+its own columns; ``pack`` replaces columns named like its results.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import tokens
 from .dense import numbered
+from .textarrays import groups
 
 CAPACITY = 2048
 END_TOKEN = 0
@@ -35,7 +39,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = tokens.chunks(tokenizer).encode, np.array([end_token], dtype="<u2").tobytes()
-        for batch in batches:
+        for batch in (part for batch in batches for part in groups(batch, text)):
             rows = [[] for _ in schema.fields]
             keys = batch.column(0).to_pylist()
             for i, body in enumerate(batch.column(1)):

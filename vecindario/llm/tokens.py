@@ -1,7 +1,7 @@
 """Token ids of whole texts by the word-level BPE file, a word at a time and from a bounded cache.
 
 The file's rules never look across white space, so a text's ids are its chunks' ids in a row. Frequent
-chunks come from a dictionary; others are merged by their ranks (the rank of a merge is the id it makes), and
+chunks come from a dictionary of at most ``CACHE_BYTES``; others are merged by their ranks (the rank of a merge is the id it makes), and
 chunks with characters beyond Latin, controls or special tokens go to the tokenizer itself.
 """
 
@@ -11,11 +11,12 @@ import json
 import os
 import re
 import unicodedata
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 
-CACHE_ENTRIES = 400_000
+#: Bytes that the cached chunks may take, and what an entry takes besides its letters and ids.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 240
 END = b"\xff"  # never part of UTF-8, so it can stand for the end of a word
 
 # The file's own split pattern, and the characters for which both routes are tested to agree.
@@ -40,10 +41,8 @@ class Chunks(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         import tiktoken
-        import tokenizers
 
         letters, ranks = byte_letters(), {}
         with open(path, encoding="utf-8") as file:
@@ -54,13 +53,21 @@ class Chunks(dict):
                 ranks[bytes(letters[c] for c in (token[:-4] if ended else token)) + END * ended] = rank
         self.merge = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.pieces = regex.compile(PIECES).findall
-        self.whole = tokenizers.Tokenizer.from_file(path)
+        self.path, self.held, self.older = path, 0, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+        out = self.older.get(chunk)
+        if out is None:
+            ids = self.plain(chunk) if PLAIN.fullmatch(chunk) and "<|" not in chunk else self.exact(chunk)
+            out = np.array(ids, dtype="<u2").tobytes()
+        cost = ENTRY_BYTES + len(chunk) + len(out)
+        if cost > CACHE_BYTES // 64:  # a chunk of half a megabyte is not worth keeping
+            return out
+        if self.held + cost > CACHE_BYTES // 2:  # what was used since the last turn moves on, the rest goes
+            self.older, self.held = dict(self), 0
             self.clear()
-        ids = self.plain(chunk) if PLAIN.fullmatch(chunk) and "<|" not in chunk else self.exact(chunk)
-        out = self[chunk] = np.array(ids, dtype="<u2").tobytes()
+        self[chunk] = out
+        self.held += cost
         return out
 
     def plain(self, chunk: str) -> list[int]:
@@ -69,6 +76,13 @@ class Chunks(dict):
             ids += self.merge(piece.encode() + END)
         return ids
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, loaded by the first text that needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tokenizers
+        return tokenizers.Tokenizer.from_file(self.path)
+
     def exact(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
