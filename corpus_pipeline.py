@@ -2,6 +2,12 @@
 
 Documents that the quality classifier or the language identification rejects go, one document of each class of near
 duplicates stays, documents that hold a benchmark item go, and the rest is packed into sequences.
+
+Stages that add columns of their own carry the document as one struct, so a column of any name passes through unchanged.
+Null and empty texts have a quality score but no language, so the second stage rejects them; very long texts are taken
+whole; repeated rows are copies, one of them stays; an empty table stays empty, and with no label or no language to learn
+from the classifier scores all rows alike and the language stage keeps all rows. Of equal scores none is preferred: the
+limits alone decide.
 """
 
 from __future__ import annotations
@@ -11,9 +17,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vecindario.llm import decontamination, language, near_duplicates, packing, quality_model, tokens
 from vecindario.session import cut, scratch_path
 
-#: Documents scored below are rejected: more likely bad than good, and in no or an unsure language.
+#: Documents scored below are rejected: more likely bad than good, and in no language that is likelier than all others together.
 MIN_QUALITY = 0.5
-MIN_LANGUAGE = 0.3
+MIN_LANGUAGE = 0.5
+
+
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The whole row as ``_row``, and beside it the columns that a stage works on."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *needed)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,21 +33,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = labels.filter(~quality_model.held_out(F.col("doc_id")))
     stats = cut(quality_model.described(docs.select("doc_id", "text")), "stats")
     model = quality_model.fit(cut(stats.join(labels, "doc_id"), "training"))
-    scored = quality_model.scored(quality_model.described(docs.withColumn("_text", F.col("text")), "_text"), model)
-    return scored.filter(F.col("score") >= MIN_QUALITY).select(*docs.columns)
+    scored = quality_model.scored(quality_model.described(carried(docs, "text"), "text"), model)
+    return scored.filter(F.col("score") >= MIN_QUALITY).select("_row.*")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a letter or whose likeliest language scores below ``MIN_LANGUAGE``."""
     model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
-    found = language.predicted(docs.withColumn("_text", F.col("text")), model, "_text")
-    known = (F.col("lang_pred") != language.UNKNOWN) if model.languages else F.lit(True)
-    return found.filter(known & ((F.col("score") >= MIN_LANGUAGE) | F.lit(not model.languages))).select(*docs.columns)
+    if not model.languages:
+        return docs
+    found = language.predicted(carried(docs, "text"), model, "text")
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE)).select("_row.*")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of copies and near copies."""
-    return near_duplicates.firsts(docs)
+    return near_duplicates.firsts(carried(docs, "doc_id", "text")).select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
