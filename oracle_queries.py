@@ -257,6 +257,22 @@ def oracle() -> dict[str, str]:
             FROM rows_ JOIN inverse USING (word) WHERE {hash01(36)} < weight_n""",
         "hash_split": lambda: rows + f"""SELECT doc_id, line_no, pos, word,
             CASE WHEN {hash01(24)} < 0.7::DOUBLE THEN 'train' ELSE 'test' END AS split FROM rows_""",
+        "predict_center_nb": lambda: with_(lines("clines", **CONV), shingles()) + f""", rows_ AS (
+              SELECT doc_id, line_no, pos, run[len(run) // 2 + 1] AS word, list_sort(list_concat(run[1:len(run) // 2], run[len(run) // 2 + 2:])) AS bag FROM runs),
+            kept AS (SELECT *, {hash01(24)} < 0.7::DOUBLE AS train FROM rows_ JOIN (SELECT word FROM rows_ GROUP BY word HAVING count(*) > 2) USING (word)),
+            classes AS (SELECT word, count(*) AS n, sum(len(bag)) AS total FROM kept WHERE train GROUP BY word),
+            terms AS (SELECT word, term, count(*) AS c FROM (SELECT word, unnest(bag) AS term FROM kept WHERE train) GROUP BY ALL),
+            sizes AS (SELECT (SELECT sum(n) FROM classes) AS rows, (SELECT count(*) FROM classes) AS n_classes, (SELECT count(DISTINCT term) FROM terms) AS n_terms),
+            bags AS (SELECT DISTINCT bag, len(bag) AS size FROM kept WHERE NOT train),
+            fixed AS (SELECT word, size, ln((n + 1.0::DOUBLE) / (rows + n_classes)) - size * ln(total + 1.0::DOUBLE * n_terms) AS score
+                      FROM classes, sizes, (SELECT DISTINCT size FROM bags)),
+            gains AS (SELECT bag, size, terms.word, sum(tf * ln(1 + c / 1.0::DOUBLE)) AS gain
+                      FROM (SELECT bag, size, term, count(*) AS tf FROM (SELECT bag, size, unnest(bag) AS term FROM bags) GROUP BY ALL) JOIN terms USING (term) GROUP BY ALL),
+            scores AS (SELECT bag, word, round(score + gain, 9) AS score FROM gains JOIN fixed USING (word, size)
+                       UNION ALL SELECT bag, word, score FROM bags JOIN (SELECT size, min_by(word, (-round(score, 9), word)) AS word, max(round(score, 9)) AS score
+                                                                         FROM fixed GROUP BY size) USING (size)),
+            best AS (SELECT bag, min_by(word, (-score, word)) AS pred_word, max(score) AS score FROM scores GROUP BY bag)
+            SELECT doc_id, line_no, pos, word, pred_word, round(score, 6) AS score FROM kept JOIN best USING (bag) WHERE NOT train""",
         "top_words": lambda: base + "SELECT word, count(*) AS count FROM posts GROUP BY word ORDER BY count DESC, word LIMIT 100",
         "words_by_length": lambda: base + "SELECT DISTINCT word, length(word)::INT AS n_chars FROM posts",
         "center_distances": lambda: """WITH x AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS d,

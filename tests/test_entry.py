@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["clean_text_short", "kwic_words", "shingle_windows", "word_centroids", "inverse_rank_weights", "knn_graph",
-         "vec_roundtrip", "stream_postings"]
+         "vec_roundtrip", "stream_postings", "predict_center_nb"]
 
 
 def test_contract():

@@ -52,12 +52,21 @@ def test_fit_is_bounded_and_every_test_window_scored(corpus):
     assert max(numbers) < 20 and all(r.pred_word for r in scored)
 
 
+@pytest.mark.parametrize("components", [None, 2])
+def test_tree_predicts_every_test_window(corpus, components):
+    rows = Pr.prepare(Wn.token_windows(corpus, size=3), keys=KEYS)
+    scored = Pr.tree_predict(rows, num_features=64, components=components, rounds=4).collect()
+    test = {tuple(r) for r in rows.filter("split = 'test'").select(*KEYS, "word", "label").collect()}
+    assert {(*(r[k] for k in KEYS), r.word, r.label) for r in scored} == test and len(scored) == len(test)
+    known = dict(rows.filter("split = 'train'").select("word", "label").distinct().collect())
+    assert all(known[r.pred_word] == r.prediction for r in scored)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 @pytest.mark.parametrize("name", ["predict_center_lr", "predict_center_pca", "predict_center_ovr"])
 def test_queries_drop_no_labels(spark, monkeypatch, name):
-    def only_rows(rows, classifier, **options):
-        return rows
-    monkeypatch.setattr(Q.Pr, "fit_predict", only_rows)
+    for plan in ("fit_predict", "tree_predict"):
+        monkeypatch.setattr(Q.Pr, plan, lambda rows, *_, **__: rows)
     rows = Q.QUERIES[name](spark, SF)
     if name == "predict_center_ovr":
         counts = Wn.shingle_windows(Q.bench_lines(spark, SF)).groupBy("word").count().filter("count > 2")

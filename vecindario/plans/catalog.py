@@ -19,7 +19,8 @@ LOOKUP_WORDS = ["the", "und", "les", "que"]
 PRUNE = dict(min_df=2, max_df=0.95)
 SHAPES = ("doc_id", "line_no", "pos")
 VEC_DIM, EMB_DIM = 8, 16
-MIN_SHINGLE = 2  # shingles seen this often or less are no classes of predict_center_ovr
+MIN_SHINGLE = 2  # shingles seen this often or less are no classes of predict_center_nb and predict_center_ovr
+OVR_ROWS = 100  # windows that predict_center_ovr is fitted on: it grows one tree for each class among them
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -389,19 +390,22 @@ def pca_windows(spark, sf):
 
 
 def predict_center_lr(spark, sf):
-    rows = Pr.prepare(sliding_rows(spark, sf), keys=SHAPES)
-    return Pr.fit_predict(rows, Pr.logistic(max_iter=20), keys=SHAPES)
+    return Pr.tree_predict(Pr.prepare(sliding_rows(spark, sf), keys=SHAPES))
 
 
 def predict_center_pca(spark, sf):
-    rows = Pr.prepare(sliding_rows(spark, sf), keys=SHAPES)
-    return Pr.fit_predict(rows, Pr.logistic(max_iter=20), num_features=256, components=3, keys=SHAPES)
+    return Pr.tree_predict(Pr.prepare(sliding_rows(spark, sf), keys=SHAPES), num_features=256, components=3)
+
+
+def predict_center_nb(spark, sf):
+    rows = Pr.prepare(Wn.shingle_windows(conv_lines(spark, sf)), keys=SHAPES, min_count=MIN_SHINGLE)
+    return rounded(Pr.bayes_predict(rows), "score").select(*SHAPES, "word", "pred_word", "score")
 
 
 def predict_center_ovr(spark, sf):
     rows = Wn.shingle_windows(bench_lines(spark, sf))
     rows = Pr.prepare(rows, keys=SHAPES, min_count=MIN_SHINGLE, stratified=True)
-    return Pr.fit_predict(rows, Pr.one_vs_rest(), num_features=256, keys=SHAPES)
+    return Pr.fit_predict(rows, Pr.one_vs_rest(), num_features=256, keys=SHAPES, max_fit_rows=OVR_ROWS)
 
 
 # streams
@@ -432,6 +436,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     plain_idf, sparse_matmul, label_counts, rare_labels, drop_rare, label_index, label_words, label_lookup,
     inverse_rank_weights, stratified_sample, hash_split, top_words, words_by_length, center_distances, knn_graph,
     emb_random, vec_text_lines, vec_roundtrip, emb_svd, emb_nmf, emb_kmeans, emb_minibatch, emb_cf, emb_topics,
-    emb_discriminant, emb_graph, pca_windows, predict_center_lr, predict_center_pca, predict_center_ovr,
+    emb_discriminant, emb_graph, pca_windows, predict_center_lr, predict_center_pca, predict_center_nb, predict_center_ovr,
     stream_postings, stream_centers,
 )}
