@@ -257,9 +257,8 @@ def oracle() -> dict[str, str]:
             FROM rows_ JOIN inverse USING (word) WHERE {hash01(36)} < weight_n""",
         "hash_split": lambda: rows + f"""SELECT doc_id, line_no, pos, word,
             CASE WHEN {hash01(24)} < 0.7::DOUBLE THEN 'train' ELSE 'test' END AS split FROM rows_""",
-        "predict_center_nb": lambda: with_(lines("clines", **CONV), shingles()) + f""", rows_ AS (
-              SELECT doc_id, line_no, pos, run[len(run) // 2 + 1] AS word, list_sort(list_concat(run[1:len(run) // 2], run[len(run) // 2 + 2:])) AS bag FROM runs),
-            kept AS (SELECT *, {hash01(24)} < 0.7::DOUBLE AS train FROM rows_ JOIN (SELECT word FROM rows_ GROUP BY word HAVING count(*) > 2) USING (word)),
+        "predict_center_nb": lambda: with_(lines("clines", **CONV), sliding("clines")).rstrip() + f""",
+            kept AS (SELECT doc_id, line_no, pos, word, list_sort(win) AS bag, {hash01(24)} < 0.7::DOUBLE AS train FROM rows_ JOIN (SELECT word FROM rows_ GROUP BY word HAVING count(*) > 2) USING (word)),
             classes AS (SELECT word, count(*) AS n, sum(len(bag)) AS total FROM kept WHERE train GROUP BY word),
             terms AS (SELECT word, term, count(*) AS c FROM (SELECT word, unnest(bag) AS term FROM kept WHERE train) GROUP BY ALL),
             sizes AS (SELECT (SELECT sum(n) FROM classes) AS rows, (SELECT count(*) FROM classes) AS n_classes, (SELECT count(DISTINCT term) FROM terms) AS n_terms),

@@ -19,7 +19,7 @@ LOOKUP_WORDS = ["the", "und", "les", "que"]
 PRUNE = dict(min_df=2, max_df=0.95)
 SHAPES = ("doc_id", "line_no", "pos")
 VEC_DIM, EMB_DIM = 8, 16
-MIN_SHINGLE = 2  # shingles seen this often or less are no classes of predict_center_nb and predict_center_ovr
+MIN_COUNT = 2  # words or shingles seen this often or less are no classes of predict_center_nb and predict_center_ovr
 OVR_ROWS = 100  # windows that predict_center_ovr is fitted on: it grows one tree for each class among them
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -398,13 +398,13 @@ def predict_center_pca(spark, sf):
 
 
 def predict_center_nb(spark, sf):
-    rows = Pr.prepare(Wn.shingle_windows(conv_lines(spark, sf)), keys=SHAPES, min_count=MIN_SHINGLE)
+    rows = Pr.prepare(Wn.token_windows(conv_lines(spark, sf)), keys=SHAPES, min_count=MIN_COUNT)
     return rounded(Pr.bayes_predict(rows), "score").select(*SHAPES, "word", "pred_word", "score")
 
 
 def predict_center_ovr(spark, sf):
     rows = Wn.shingle_windows(bench_lines(spark, sf))
-    rows = Pr.prepare(rows, keys=SHAPES, min_count=MIN_SHINGLE, stratified=True)
+    rows = Pr.prepare(rows, keys=SHAPES, min_count=MIN_COUNT, stratified=True)
     return Pr.fit_predict(rows, Pr.one_vs_rest(), num_features=256, keys=SHAPES, max_fit_rows=OVR_ROWS)
 
 
