@@ -6,6 +6,7 @@ are taken in groups of about ``CHUNK`` bytes, so memory follows the longest text
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,6 +72,15 @@ def groups(batch: pa.RecordBatch, column: str, limit: int = CHUNK, rows: int = 4
         end = min(max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1), start + rows)
         yield batch.slice(start, end - start)
         start = end
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: worker processes live on from stage to stage, and so would their largest batch."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
 
 
 def folded(data: np.ndarray) -> np.ndarray:
