@@ -20,6 +20,13 @@ from vecindario.session import cut, scratch_path
 #: Documents scored below are rejected: more likely bad than good, and in no language that is likelier than all others together.
 MIN_QUALITY = 0.5
 MIN_LANGUAGE = 0.5
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send whole texts to the tasks' Python in smaller batches, unless the session says how large they are."""
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's own default
+        spark.conf.set(BATCH_ROWS, "1000")
 
 
 def carried(docs: DataFrame, *needed: str) -> DataFrame:
@@ -29,6 +36,7 @@ def carried(docs: DataFrame, *needed: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that the classifier, fitted on labelled rows of ``docs``, scores below ``MIN_QUALITY``."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     labels = labels.filter(~quality_model.held_out(F.col("doc_id")))
     stats = cut(quality_model.described(docs.select("doc_id", "text")), "stats")
@@ -39,6 +47,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a letter or whose likeliest language scores below ``MIN_LANGUAGE``."""
+    small_batches(spark)
     model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
     if not model.languages:
         return docs
@@ -48,16 +57,19 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of copies and near copies."""
+    small_batches(spark)
     return near_duplicates.firsts(carried(docs, "doc_id", "text")).select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that hold a benchmark item."""
+    small_batches(spark)
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences and places."""
+    small_batches(spark)
     return packing.pack(packing.token_pieces(docs, tokens.default_path()))
 
 
