@@ -65,7 +65,7 @@ def test_tree_predicts_every_test_window(corpus, components):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 @pytest.mark.parametrize("name", ["predict_center_lr", "predict_center_pca", "predict_center_ovr"])
 def test_queries_drop_no_labels(spark, monkeypatch, name):
-    for plan in ("fit_predict", "tree_predict"):
+    for plan in ("tree_predict", "class_trees_predict"):
         monkeypatch.setattr(Q.Pr, plan, lambda rows, *_, **__: rows)
     rows = Q.QUERIES[name](spark, SF)
     if name == "predict_center_ovr":

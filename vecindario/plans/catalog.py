@@ -20,7 +20,6 @@ PRUNE = dict(min_df=2, max_df=0.95)
 SHAPES = ("doc_id", "line_no", "pos")
 VEC_DIM, EMB_DIM = 8, 16
 MIN_COUNT = 2  # words or shingles seen this often or less are no classes of predict_center_nb and predict_center_ovr
-OVR_ROWS = 100  # windows that predict_center_ovr is fitted on: it grows one tree for each class among them
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -405,7 +404,7 @@ def predict_center_nb(spark, sf):
 def predict_center_ovr(spark, sf):
     rows = Wn.shingle_windows(bench_lines(spark, sf))
     rows = Pr.prepare(rows, keys=SHAPES, min_count=MIN_COUNT, stratified=True)
-    return Pr.fit_predict(rows, Pr.one_vs_rest(), num_features=256, keys=SHAPES, max_fit_rows=OVR_ROWS)
+    return Pr.class_trees_predict(rows, num_features=256)
 
 
 # streams
