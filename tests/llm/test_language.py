@@ -78,3 +78,8 @@ def test_temperature_minimises_log_loss():
     def loss(x):
         return -np.log(L.softmax(logits / x)[np.arange(500), labels]).mean()
     assert loss(t) <= min(loss(x) for x in np.linspace(0.5, 9, 40)) + 1e-6
+
+
+def test_equally_likely_languages_give_the_first_by_name():
+    model = L.Model(["aa", "bb", "cc"], np.ones(L.BUCKETS), np.zeros((L.BUCKETS, 3)))
+    assert model.predict("kolu mira") == ("aa", 1 / 3) and model.predict("12 !") == (L.UNKNOWN, 0.0)

@@ -176,3 +176,14 @@ def test_bounds_are_above_similarities():
     bounds = N.most_similar(bags, bags)
     exact = np.array([[S.similarity(a, b) for b in bags] for a in bags])
     assert (bounds >= exact - 1e-5).all() and np.allclose(np.diag(bounds), 1)
+
+
+def test_firsts_keep_columns_of_any_name(spark):
+    long = " ".join(f"w{i}" for i in range(30000))
+    rows = [(1, "same text of five words here"), (1, "same text of five words here"), (3, "same text of five words here"), (4, None), (5, ""), (6, long), (7, long + " x")]
+    names = ["_node", "_n", "_key", "_own", "_row", "node", "key", "component", "class_id", "bands", "a.b"]
+    docs = spark.createDataFrame([(i, t, *[f"{i}{n}" for n in names]) for i, t in rows], ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    out = N.firsts(docs.repartition(3))
+    assert out.columns == docs.columns
+    got = sorted(map(tuple, out.collect()))
+    assert got == sorted({tuple(r) for r in docs.collect() if r.doc_id in (1, 4, 6)})

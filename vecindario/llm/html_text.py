@@ -8,7 +8,7 @@ text, without the parts just named, is the result.
 
 Edge cases: null and empty html give an empty text; unclosed tags, comments and quotes end with the page; without
 any positive run the text is empty; repeated rows are read one by one; other columns pass through, but for one that
-has the output's name.
+has the output's name; of runs with equal sums the earliest is taken, and the shortest of those; a very long page is read whole.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Whole texts are read, in blocks, for learning and prediction alike.
 
 Edge cases: texts that are null or without any letter are ``und`` with score 0; documents with a null language are
 predicted but not learned from; without anything to learn from all are ``und``; rows with equal keys are predicted
-one by one; an empty table gives an empty result.
+one by one; an empty table gives an empty result; of equally likely languages the first by name is given, and of documents whose
+keys have equal hashes one is learned from; columns named lang_pred or score are replaced, others pass through.
 """
 
 from __future__ import annotations

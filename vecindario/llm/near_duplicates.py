@@ -17,7 +17,9 @@ Classes are connected components of verified links, and every pair that shares a
 bound or already in one class. Step 4 grows with the square of a bucket's texts that the leaders could not join.
 
 Edge cases: null texts count as empty; texts without a word are equal only to exact copies; texts of fewer than five
-words are one shingle; repeated rows are copies; null keys pass through; an empty table gives an empty result.
+words are one shingle; repeated rows are copies; null keys pass through; an empty table gives an empty result; very long texts are
+compared whole, a few at a time, so the longest pair bounds a task's memory; of equal scores the largest digest leads, which changes
+the pairs tested but not the classes; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -240,8 +242,8 @@ def firsts(documents: DataFrame, key: str = "doc_id", text: str = "text", **opti
     own = members(documents, key, text, **options).filter(F.col(key).eqNullSafe(F.col("class_id")))
     counts = own.groupBy("component", "node").agg(F.first(key).alias("_key"), F.count("*").alias("_n"))
     chosen = cut(counts.groupBy("component").agg(F.min(F.struct("node", "_key", "_n")).alias("_first")).select("_first.*"), "firsts")
-    rows = documents.withColumn("_node", node_of(F.col(text)))
-    kept = rows.join(chosen, rows["_node"].eqNullSafe(chosen["node"]) & rows[key].eqNullSafe(chosen["_key"]))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), F.col(key).alias("_own"), node_of(F.col(text)).alias("_node"))
+    kept = rows.join(chosen, (F.col("_node") == F.col("node")) & F.col("_own").eqNullSafe(F.col("_key")))
     if chosen.filter("_n > 1").limit(1).count():  # rows that are there several times
         kept = kept.filter("_n = 1").unionByName(kept.filter("_n > 1").dropDuplicates(["_node"]))
-    return kept.select(*[rows[c] for c in documents.columns])
+    return kept.select("_row.*")

@@ -11,7 +11,9 @@
 A file is written under a name of its own and renamed, so retried or doubled tasks leave one whole file.
 
 Edge cases: null and empty texts are one end token; repeated rows are written one by one; an empty table gives
-no sequence and no file.
+no sequence and no file; a very long text runs on through as many sequences as it fills; only the text is read, so other
+columns may have any name. Slots have no ties. Sequences are numbered along the input's partitions: another split of the same
+table gives other sequences and another order.
 """
 
 from __future__ import annotations
