@@ -11,7 +11,7 @@
 Edge cases: null and empty texts have statistics of zero and are scored like any other; labels other than 0 and 1,
 null ones and those without a document are ignored; without training rows every score is 0.5; rows with
 equal keys are scored one by one; an empty table gives an empty result; very long texts are counted whole; equal raw scores share a bin
-and so a probability.
+and so a probability; columns named stats or score are replaced.
 """
 
 from __future__ import annotations

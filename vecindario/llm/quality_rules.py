@@ -6,7 +6,7 @@ source costs no more than any other.
 Edge cases: a null text counts as no words, fails the base rule and has a null ``clean_text``; an empty
 one likewise with an empty ``clean_text``; lines without a word are dropped but count neither as
 kept nor as lost; repeated rows are judged alike, one by one; extra columns pass through, and columns
-that have an output's name are replaced by it.
+that have an output's name are replaced by it; very long texts are judged whole, and nothing is ranked, so there are no ties.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ A url that no rule fits is allowed, unless another ``default`` is given.
 
 Edge cases: null urls and urls without ``://`` have an empty host and path and fit no rule; of repeated rules one
 counts, and block wins over allow if both are given; repeated urls are decided once and joined back; an empty
-rule table decides all by default; other columns pass through, but for those that have an output's name.
+rule table decides all by default; other columns pass through, but for those that have an output's name;
+very long urls are read whole; rules that fit at one host level are nested, so the longest of them is one.
 """
 
 from __future__ import annotations
