@@ -195,6 +195,7 @@ def oracle() -> dict[str, str]:
         + f"SELECT {p4}, md5(line) AS line_md5 FROM posts JOIN clines USING (doc_id, line_no)",
         "coo_codec": lambda: base + "SELECT word, doc_id, line_no || ',' || \"offset\" AS coo, line_no, \"offset\" FROM posts",
         "sampled_postings": lambda: with_(lines(), posts(), sampled()) + "SELECT * FROM sampled",
+        "stream_sampled_postings": lambda: with_(lines(), posts(), sampled()) + "SELECT * FROM sampled",
         "context_windows": lambda: with_(lines(), posts(), toks(), sampled(), windows())
         + f"SELECT {p4}, array_to_string(win, ' ') AS \"window\" FROM windows",
         "kwic_words": lambda: with_(lines(), posts(keep=f"WHERE word IN {lookup}"), toks(), windows("posts"))

@@ -96,6 +96,23 @@ def test_stream_postings_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("files, merge_every", [(1, 16), (5, 2)])
+def test_stream_samples_equal_batch(spark, tmp_path, files, merge_every):
+    docs = spark.createDataFrame(
+        [(i, f"sol sol luna {i}\nmar sol") for i in range(30)] + [(50, None), (51, "")], "doc_id long, text string")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    docs.repartition(files).write.parquet(source)
+    want = sorted(map(tuple, P.sample(P.postings(C.lines_from_column(docs)), 7).collect()))
+    for check in ("first", "replay"):
+        query = SP.stream_sampled_postings(spark, source, docs.schema, out, str(tmp_path / check), samples=7,
+                                           merge_every=merge_every, files_per_trigger=1)
+        query.awaitTermination()
+        last = query.lastProgress["batchId"]
+        got = SP.read_sampled_postings(spark, out, last, samples=7, merge_every=merge_every)
+        assert sorted(map(tuple, got.collect())) == want
+    assert sum(r[0] == "sol" for r in want) == 7
+
+
 def test_stream_centers_survive_a_replay(spark, corpus, tmp_path):
     source, state = str(tmp_path / "in"), str(tmp_path / "state")
     packed = SC.pack(Ce.corpus_centroids(corpus, stop=[]))

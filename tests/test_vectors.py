@@ -71,6 +71,59 @@ def test_kmeans_assigns_the_nearest_center(X, dense):
     assert np.allclose(vecs[words[0]], A[0] @ C.T)
 
 
+def matrix_of(spark, A):
+    rows = [(f"w{i:04d}", f"t{j}", float(x)) for i, row in enumerate(A) for j, x in enumerate(row) if x]
+    return cut(spark.createDataFrame(rows, "word string, term string, weight double"))
+
+
+def cost_of(A, centers, k):
+    c = {r["term"]: np.array(list(r)[1:]) for r in centers.collect()}
+    C = np.array([c.get(f"t{j}", np.zeros(k)) for j in range(A.shape[1])]).T
+    return ((A[:, None, :] - C[None]) ** 2).sum(axis=2).min(axis=1).sum()
+
+
+def plus_plus_cost(A, k, rng):
+    picks = [rng.integers(len(A))]
+    for _ in range(k - 1):
+        gap = ((A[:, None, :] - A[picks][None]) ** 2).sum(axis=2).min(axis=1)
+        picks.append(rng.choice(len(A), p=gap / gap.sum()))
+    return ((A[:, None, :] - A[picks][None]) ** 2).sum(axis=2).min(axis=1).sum()
+
+
+def test_seeding_is_no_worse_than_plus_plus(spark):
+    rng = np.random.default_rng(5)
+    A = rng.normal(size=(12, 20))[rng.integers(12, size=400)] * 3 + rng.normal(size=(400, 20)) * 0.3
+    filled = matrix_of(spark, A)
+    usual = np.median([plus_plus_cost(A, 12, rng) for _ in range(20)])
+    centers = KM.seed_centers(filled, 12, seed=1, rounds=3)
+    assert cost_of(A, centers, 12) <= usual
+    again = {r["term"]: list(r)[1:] for r in KM.seed_centers(filled.repartition(7), 12, seed=1, rounds=3).collect()}
+    first = {r["term"]: list(r)[1:] for r in centers.collect()}
+    assert first.keys() == again.keys() and all(np.allclose(first[t], again[t]) for t in first)
+
+
+def test_seeding_with_copies_and_too_few_words(spark):
+    A = np.repeat(np.eye(3) * 2.0, 5, axis=0)
+    filled = matrix_of(spark, A)
+    centers = KM.seed_centers(filled, 5)
+    assert len(L.dense_columns(centers)) == 5 and cost_of(A, centers, 5) < 1e-20
+    with pytest.raises(ValueError):
+        KM.seed_centers(filled, 16)
+    with pytest.raises(ValueError):
+        KM.seed_centers(filled.limit(0), 1)
+
+
+def test_lloyd_ends_at_the_means_of_its_members(spark):
+    rng = np.random.default_rng(8)
+    A = np.repeat(np.eye(4) * 5.0, 10, axis=0) + np.abs(rng.normal(size=(40, 4))) * 0.2
+    centers = KM.lloyd(matrix_of(spark, A), 4)
+    c = {r["term"]: np.array(list(r)[1:]) for r in centers.collect()}
+    C = np.array([c[f"t{j}"] for j in range(4)]).T
+    labels = ((A[:, None, :] - C[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert np.allclose(np.stack([A[labels == j].mean(axis=0) for j in range(4)]), C)
+    assert len({tuple(labels[10 * g:10 * g + 10]) for g in range(4)}) == 4 == len(set(labels))
+
+
 def test_minibatch_guards_and_mean(X):
     filled = X.filter("term is not null")
     with pytest.raises(ValueError):

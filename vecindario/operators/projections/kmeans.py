@@ -1,73 +1,123 @@
 """K-means in long form: centers are a table by term, so no vocabulary has to fit anywhere.
 
 A round joins the matrix with the centers, picks the nearest center per word, and
-averages the members. Only one number per center reaches the driver.
+averages the members. Two numbers per center reach the driver.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ...functions.hashing import hash01
 from ...session import cut, scratch_path
 from .. import algebra as L
 
 
-def _pilot(filled: DataFrame, size: int, seed: int) -> DataFrame:
-    """A fixed number of words with the smallest hash, all their entries."""
-    words = filled.select("word").distinct().orderBy(hash01("word", seed=seed), "word").limit(size)
-    return cut(filled.join(F.broadcast(words), "word", "left_semi"), "pilot")
-
-
-def _plus_plus(dots: np.ndarray, k: int, seed: int) -> list[int]:
-    """k-means++ picks (Arthur & Vassilvitskii 2007) from the dot products of a pilot."""
+def _merged(points: np.ndarray, size: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Group of each weighted point: weighted k-means++ picks, then Lloyd rounds while no group is empty."""
+    if len(points) <= k:
+        return np.arange(len(points))
     rng = np.random.default_rng(seed)
-    norms = np.diag(dots)
-    picks = [int(rng.integers(len(dots)))]
-    nearest = np.full(len(dots), np.inf)
+    picks = [int(rng.choice(len(points), p=size / size.sum()))]
+    gap = np.full(len(points), np.inf)
     while len(picks) < k:
-        last = picks[-1]
-        nearest = np.minimum(nearest, np.maximum(norms - 2.0 * dots[last] + norms[last], 0.0))
-        nearest[picks] = 0.0
-        total = nearest.sum()
-        if total > 0:
-            picks.append(int(rng.choice(len(dots), p=nearest / total)))
+        gap = np.minimum(gap, ((points - points[picks[-1]]) ** 2).sum(axis=1))
+        gap[picks] = 0.0
+        mass = gap * size
+        if mass.sum() > 0:
+            picks.append(int(rng.choice(len(points), p=mass / mass.sum())))
         else:
-            picks.append(next(i for i in range(len(dots)) if i not in picks))
-    return picks
-
+            picks.append(next(i for i in range(len(points)) if i not in picks))
+
+    def closest(centers: np.ndarray) -> np.ndarray:
+        return ((centers * centers).sum(axis=1) - 2.0 * points @ centers.T).argmin(axis=1)
+
+    labels = closest(points[picks])
+    labels[picks] = np.arange(k)
+    for _ in range(50):
+        total = np.bincount(labels, size, k)
+        means = np.stack([np.bincount(labels, size * x, k) for x in points.T], axis=1) / total[:, None]
+        new = closest(means)
+        if len(np.unique(new)) < k or (new == labels).all():
+            break
+        labels = new
+    return labels
 
-def seed_centers(filled: DataFrame, k: int, *, seed: int = 0, pilot_factor: int = 8) -> DataFrame:
-    """Starting centers ``(term, c0 …)``: k-means++ over a pilot of ``pilot_factor·k`` words."""
-    pilot = _pilot(filled, pilot_factor * k, seed)
-    names = [r[0] for r in pilot.select("word").distinct().orderBy("word").collect()]
-    if len(names) < k:
-        raise ValueError(f"{len(names)} words cannot give {k} centers")
-    place = {w: i for i, w in enumerate(names)}
-    dots = np.zeros((len(names), len(names)))
-    rows = pilot.select(F.col("word").alias("row"), "term", "weight")
-    cols = pilot.select("term", F.col("word").alias("col"), "weight")
-    for r in L.matmul_long(rows, cols, on="term").collect():
-        dots[place[r["row"]], place[r["col"]]] = r["weight"]
-    picks = [names[i] for i in _plus_plus(dots, k, seed)]
-    sums = [F.sum(F.when(F.col("word") == w, F.col("weight")).otherwise(0.0)).alias(f"c{j}")
-            for j, w in enumerate(picks)]
-    return cut(pilot.groupBy("term").agg(*sums), "centers")
 
+def seed_centers(filled: DataFrame, k: int, *, seed: int = 0, rounds: int = 5, oversampling: float = 2.0,
+                 sketch: int = 32) -> DataFrame:
+    """Starting centers ``(term, c0 …)`` by k-means|| (Bahmani et al. 2012) over all words.
 
-def _argmin(values: list[Column]) -> Column:
-    scores = F.array(*values)
-    return (F.array_position(scores, F.array_min(scores)) - 1).cast("int")
+    A round draws each word with probability ``oversampling·k·gap/cost`` by its hash, where ``gap`` is its squared
+    distance to the nearest candidate. Rounds go on past ``rounds`` while there are fewer than ``k`` candidates.
+    Then each candidate weighs as many words as it is nearest to, and weighted k-means merges them into ``k``
+    centers. The driver gets ``sketch`` random sums per candidate, about ``rounds·oversampling·k`` rows whatever
+    the vocabulary; the centers themselves are a join. With fewer than ``k`` distinct vectors the rest are copies.
+    """
+    spark = filled.sparkSession
+    points = cut(L.squared_norms(filled, by="word"), "points")
+    words, mass = points.agg(F.count("*"), F.coalesce(F.sum("norm2"), F.lit(0.0))).first()
+    if words < k:
+        raise ValueError(f"{words} words cannot give {k} centers")
+    state = points.select("word", "norm2", F.lit(float("inf")).alias("gap"), F.lit(-1).alias("owner"))
+    drawn = points.orderBy(hash01("word", seed=seed), "word").select("word").limit(1)
+    lists, taken, turn = [], 0, 0
+    while True:
+        number = F.row_number().over(Window.orderBy("word")).cast("int") - 1
+        fresh = cut(drawn.select("word", number.alias("label")), "fresh")
+        n = fresh.count()
+        if n:
+            near = nearest(filled, cut(member_sums(filled, fresh, n), "block"))
+            gap = F.greatest(F.col("norm2") + F.col("score"), F.lit(0.0))
+            gap = F.when(gap <= F.col("norm2") * 1e-12, 0.0).otherwise(gap)
+            state = cut(state.join(near, "word").select(
+                "word", "norm2", F.least("gap", gap).alias("gap"),
+                F.when(gap < F.col("gap"), F.col("label") + taken).otherwise(F.col("owner")).alias("owner")), "gaps")
+            lists.append(fresh.withColumn("label", F.col("label") + taken))
+            taken += n
+        cost = state.agg(F.sum("gap")).first()[0]
+        if cost <= 1e-12 * mass or (turn >= rounds and taken >= k):
+            break
+        turn += 1
+        chance = F.col("gap") * (oversampling * k / cost)
+        drawn = state.filter((F.col("gap") > 0) & (hash01("word", seed=seed + 7919 * turn) < chance)).select("word")
+
+    candidates = reduce(DataFrame.unionByName, lists).withColumnRenamed("label", "owner")
+    sizes = state.groupBy("owner").agg(F.count("*").cast("double").alias("size"))
+    candidates = cut(candidates.join(sizes, "owner"), "candidates")
+    entries = cut(filled.join(candidates, "word"), "entries")
+    signs = L.seeded_block(entries.select("term").distinct(), "term", sketch, seed=seed)
+    rows = L.multiply(entries, signs, by=["owner", "word", "size"], on="term").orderBy("owner").collect()
+    names, size = [r["word"] for r in rows], np.array([r["size"] for r in rows])
+    labels = _merged(np.array([list(r)[3:] for r in rows]), size, k, seed)
+    share = size / np.bincount(labels, size)[labels]
+    merged = list(zip(names, map(int, labels), map(float, share)))
+    if len(names) < k:
+        spare = points.join(candidates, "word", "left_anti").orderBy(hash01("word", seed=seed), "word").limit(k - len(names))
+        merged += [(r["word"], len(names) + j, 1.0) for j, r in enumerate(spare.collect())]
+    parts = spark.createDataFrame(merged, StructType([filled.schema["word"]]).add("label", "integer").add("share", "double"))
+    scaled = filled.join(parts, "word").select("word", "term", (F.col("weight") * F.col("share")).alias("weight"))
+    return cut(member_sums(scaled, parts.drop("share"), k), "centers")
 
 
-def assign(filled: DataFrame, centers: DataFrame) -> DataFrame:
-    """``(word, label)``: the nearest center by |c|² - 2x·c."""
+def nearest(filled: DataFrame, centers: DataFrame) -> DataFrame:
+    """``(word, label, score)``: the nearest center and |c|² - 2x·c, the squared distance without |x|²."""
     cols = L.dense_columns(centers)
     norms = L.column_sums(centers.select("term", *[(F.col(c) * F.col(c)).alias(c) for c in cols]))
     dots = L.multiply(filled, centers, by="word", on="term")
-    return dots.select("word", _argmin(
-        [F.lit(float(n)) - F.col(c) * 2.0 for n, c in zip(norms, cols)]).alias("label"))
+    scores = F.array(*[F.lit(float(n)) - F.col(c) * 2.0 for n, c in zip(norms, cols)])
+    return dots.select("word", scores.alias("scores")).select(
+        "word", (F.array_position("scores", F.array_min("scores")) - 1).cast("int").alias("label"),
+        F.array_min("scores").alias("score"))
+
+
+def assign(filled: DataFrame, centers: DataFrame) -> DataFrame:
+    """``(word, label)``: the nearest center."""
+    return nearest(filled, centers).select("word", "label")
 
 
 def member_counts(labels: DataFrame, k: int) -> np.ndarray:
@@ -97,26 +147,30 @@ def blend(centers: DataFrame, sums: DataFrame, seen: np.ndarray, batch: np.ndarr
         for c, a, g in zip(cols, keep, gain)])
 
 
-def lloyd(filled: DataFrame, k: int, *, rounds: int = 20, seed: int = 0) -> DataFrame:
-    """Full-batch k-means; stops early when no word moves."""
+def lloyd(filled: DataFrame, k: int, *, rounds: int = 100, tolerance: float = 1e-4, seed: int = 0) -> DataFrame:
+    """Full-batch k-means; ends once a round lowers the cost by no more than ``tolerance`` of itself."""
     centers = seed_centers(filled, k, seed=seed)
-    labels = None
+    mass = filled.agg(F.coalesce(F.sum(F.col("weight") * F.col("weight")), F.lit(0.0))).first()[0]
+    before = None
     for _ in range(rounds):
-        new = cut(assign(filled, centers), "labels")
-        if labels is not None:
-            moved = new.join(labels.withColumnRenamed("label", "old"), "word").filter("label <> old")
-            if moved.isEmpty():
-                break
-        labels = new
-        counts = member_counts(labels, k)
-        centers = cut(blend(centers, member_sums(filled, labels, k), np.zeros(k), counts), "centers")
+        near = cut(nearest(filled, centers), "labels")
+        groups = near.groupBy("label").agg(F.count("*").alias("n"), F.sum("score").alias("score")).collect()
+        cost = max(mass + sum(g["score"] for g in groups), 0.0)
+        if before is not None and before - cost <= tolerance * before:
+            break
+        before = cost
+        counts = np.zeros(k)
+        for g in groups:
+            counts[g["label"]] = g["n"]
+        centers = cut(blend(centers, member_sums(filled, near.drop("score"), k), np.zeros(k), counts), "centers")
     return centers
 
 
-def kmeans_vectors(centroids: DataFrame, *, dim: int = 100, rounds: int = 20, seed: int = 0) -> DataFrame:
+def kmeans_vectors(centroids: DataFrame, *, dim: int = 100, rounds: int = 100, tolerance: float = 1e-4,
+                   seed: int = 0) -> DataFrame:
     """Dot products of each word with ``dim`` k-means centers."""
     filled = centroids.filter(F.col("term").isNotNull())
-    centers = lloyd(filled, dim, rounds=rounds, seed=seed)
+    centers = lloyd(filled, dim, rounds=rounds, tolerance=tolerance, seed=seed)
     return L.as_vectors(L.multiply(centroids, centers, by="word", on="term"))
 
 

@@ -356,7 +356,7 @@ def emb_nmf(spark, sf):
 
 
 def emb_kmeans(spark, sf):
-    return J.kmeans_vectors(doc_centroids(spark, sf), dim=EMB_DIM, rounds=10)
+    return J.kmeans_vectors(doc_centroids(spark, sf), dim=EMB_DIM)
 
 
 def emb_minibatch(spark, sf):
@@ -417,6 +417,16 @@ def stream_postings(spark, sf):
     return SP.read_postings(spark, f"{root}/out")
 
 
+def stream_sampled_postings(spark, sf):
+    docs = table(spark, sf, "documents")
+    root = scratch_path(spark, "stream")
+    docs.repartition(4, "doc_id").write.parquet(f"{root}/in")
+    query = SP.stream_sampled_postings(
+        spark, f"{root}/in", docs.schema, f"{root}/out", f"{root}/checkpoint", files_per_trigger=1, merge_every=2)
+    query.awaitTermination()
+    return SP.read_sampled_postings(spark, f"{root}/out", query.lastProgress["batchId"], merge_every=2)
+
+
 def stream_centers(spark, sf):
     root = scratch_path(spark, "stream")
     SC.pack(Ce.corpus_centroids(conv_lines(spark, sf))).repartition(4, "word").write.parquet(f"{root}/in")
@@ -436,5 +446,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     inverse_rank_weights, stratified_sample, hash_split, top_words, words_by_length, center_distances, knn_graph,
     emb_random, vec_text_lines, vec_roundtrip, emb_svd, emb_nmf, emb_kmeans, emb_minibatch, emb_cf, emb_topics,
     emb_discriminant, emb_graph, pca_windows, predict_center_lr, predict_center_pca, predict_center_nb, predict_center_ovr,
-    stream_postings, stream_centers,
+    stream_postings, stream_sampled_postings, stream_centers,
 )}
