@@ -124,3 +124,12 @@ def test_index_is_reused(spark, corpus, tmp_path):
     assert "PushedFilters" in plan and "In(word, [sol])" in plan or "EqualTo(word,sol)" in plan
     with pytest.raises(ValueError):
         I.open_or_build(spark, path, build, tokenizer="blanks")
+
+
+def test_index_refuses_another_corpus(spark, corpus, tmp_path):
+    path = str(tmp_path / "index")
+    I.open_or_build(spark, path, lambda: P.postings(corpus), corpus=corpus)
+    assert I.open_or_build(spark, path, None, corpus=corpus.repartition(5)).count() > 0
+    with pytest.raises(ValueError):
+        I.open_or_build(spark, path, None, corpus=corpus.filter("line_no <> 1"))
+    assert I.fingerprint(corpus.limit(0)) == "0:0"

@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from vecindario.operators import (algebra as L, centroids as Ce, distances as D, knn as K, mlvectors as M,
                                   projections as J, weights as Wt)
-from vecindario.operators.projections import graph as G, kmeans as KM, nmf as N, summaries as S
+from vecindario.operators.projections import eigen as EG, graph as G, kmeans as KM, nmf as N, summaries as S, tangent as TG
 from vecindario.operators.projections.discriminant import directions
 from vecindario.operators.projections.svd import svd_dense
-from vecindario.plans.pipeline import METHODS, word_vectors
+from vecindario.plans.pipeline import METHODS, word_vectors, write_word_vectors
 from vecindario.session import cut
+from vecindario.sources.vectors import read_vectors
 
 
 @pytest.fixture(scope="module")
@@ -210,6 +211,54 @@ def test_spectral_coordinates_split_components(spark):
     assert np.allclose(vecs["a0"], vecs["a3"], atol=1e-2) and not np.allclose(vecs["a0"], vecs["b0"], atol=0.1)
 
 
+def long_of(spark, M):
+    rows = [(f"r{i:03d}", f"r{j:03d}", float(M[i, j])) for i in range(len(M)) for j in range(len(M)) if M[i, j]]
+    return cut(spark.createDataFrame(rows, "row string, col string, weight double"))
+
+
+def test_eigenvectors_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    q, _ = np.linalg.qr(rng.normal(size=(40, 40)))
+    spectrum = np.r_[[0.95, 0.9, 0.8], rng.uniform(-1, 0.6, 37)]
+    A = (q * spectrum) @ q.T
+    out, values, residual = EG.leading_eigenvectors(long_of(spark, A), 3, low=-1.0, high=1.0, degree=6, tolerance=1e-6)
+    assert residual <= 2e-6 and np.allclose(values, [0.95, 0.9, 0.8], atol=1e-9)
+    V = np.array([list(r)[1:] for r in out.orderBy("col").collect()])
+    assert np.allclose(np.abs(V.T @ q[:, :3]), np.eye(3), atol=1e-4)
+    assert np.isclose(np.linalg.norm(A @ V - V * values, axis=0).max(), residual, atol=1e-7)
+
+
+def test_alignment_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    t = rng.uniform(0, 2, size=(200, 2))
+    x = np.c_[t[:, 0], t[:, 1], np.sin(t[:, 0])]
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    order = d.argsort(axis=1)[:, 1:7]
+    near = spark.createDataFrame(
+        [(f"r{i:03d}", f"r{j:03d}") for i in range(200) for j in order[i]], "word string, neighbor string")
+    vectors = spark.createDataFrame([(f"r{i:03d}", v.tolist()) for i, v in enumerate(x)], "word string, vec array<double>")
+    want = np.zeros((200, 200))
+    for i in range(200):
+        ids = np.r_[i, order[i]]
+        c = x[ids] - x[ids].mean(axis=0)
+        g = np.c_[np.full(7, 7**-0.5), np.linalg.svd(c)[0][:, :2]]
+        want[np.ix_(ids, ids)] += np.eye(7) - g @ g.T
+    got = np.zeros((200, 200))
+    for r in TG.alignment(near, vectors, 2).collect():
+        got[int(r["row"][1:]), int(r["col"][1:])] = r["weight"]
+    assert np.allclose(got, want, atol=1e-10)
+    with pytest.raises(ValueError):
+        TG.tangent_model(near, dim=2, neighbors=3, local=3)
+
+
+def test_write_word_vectors(spark, corpus, tmp_path):
+    path = str(tmp_path / "vectors")
+    write_word_vectors(corpus, path, "random", dim=4, stop=[])
+    got = read_vectors(spark, path)
+    assert got.count() == word_vectors(corpus, "random", dim=4, stop=[]).count() > 5
+    assert got.filter("size(vec) <> 4").isEmpty()
+
+
 @pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_center_distances(spark, limit):
     rows = spark.createDataFrame([(1, [0.0, 0.0], 0), (2, [3.0, 4.0], 1)], "vec_id long, embedding array<float>, label int")

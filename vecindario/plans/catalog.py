@@ -379,7 +379,13 @@ def emb_discriminant(spark, sf):
 
 
 def emb_graph(spark, sf):
-    return J.graph_vectors(doc_centroids(spark, sf), dim=EMB_DIM)
+    dense, residual = J.graph_model(doc_centroids(spark, sf), dim=EMB_DIM)
+    return L.as_vectors(dense).withColumn("residual", F.lit(residual))
+
+
+def emb_tangent(spark, sf):
+    dense, error, residual = J.tangent_model(doc_centroids(spark, sf), dim=EMB_DIM)
+    return L.as_vectors(dense).withColumns({"error": F.lit(error), "residual": F.lit(residual)})
 
 
 # prediction
@@ -445,6 +451,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     plain_idf, sparse_matmul, label_counts, rare_labels, drop_rare, label_index, label_words, label_lookup,
     inverse_rank_weights, stratified_sample, hash_split, top_words, words_by_length, center_distances, knn_graph,
     emb_random, vec_text_lines, vec_roundtrip, emb_svd, emb_nmf, emb_kmeans, emb_minibatch, emb_cf, emb_topics,
-    emb_discriminant, emb_graph, pca_windows, predict_center_lr, predict_center_pca, predict_center_nb, predict_center_ovr,
+    emb_discriminant, emb_graph, emb_tangent, pca_windows, predict_center_lr, predict_center_pca, predict_center_nb, predict_center_ovr,
     stream_postings, stream_sampled_postings, stream_centers,
 )}

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from ..functions import text as T
 from ..operators import centroids as Ce, postings as P, projections as J, weights as Wt
 from ..session import cut
+from ..sources.vectors import write_vectors
 
-METHODS = ("svd", "random", "nmf", "kmeans", "minibatch", "summaries", "topics", "discriminant", "graph")
+METHODS = ("svd", "random", "nmf", "kmeans", "minibatch", "summaries", "topics", "discriminant", "graph", "tangent")
 
 
 def word_vectors(lines: DataFrame, method: str = "svd", *, dim: int = 100, samples: int = 50, wsize: int = 10,
@@ -41,5 +42,12 @@ def word_vectors(lines: DataFrame, method: str = "svd", *, dim: int = 100, sampl
         return J.summary_vectors(centroids, vocab, dim=dim, seed=seed)
     if method == "minibatch":
         return J.minibatch_vectors(centroids, dim=dim, batch_size=batch_size, n_batches=n_batches)
-    run = {"svd": J.svd_vectors, "nmf": J.nmf_vectors, "kmeans": J.kmeans_vectors, "graph": J.graph_vectors}
+    run = {"svd": J.svd_vectors, "nmf": J.nmf_vectors, "kmeans": J.kmeans_vectors, "graph": J.graph_vectors,
+           "tangent": J.tangent_vectors}
     return run[method](centroids, dim=dim)
+
+
+def write_word_vectors(lines: DataFrame, path: str, method: str = "svd", *, single_file: bool = False,
+                       mode: str = "errorifexists", **options) -> None:
+    """Project a corpus and write its vectors: ``word_vectors`` and ``write_vectors`` in one call."""
+    write_vectors(cut(word_vectors(lines, method, **options), "vectors"), path, single_file=single_file, mode=mode)

@@ -23,12 +23,21 @@ def write_bucketed(posts: DataFrame, table: str, *, buckets: int = 64, mode: str
     posts.write.mode(mode).bucketBy(buckets, "word").sortBy("word").saveAsTable(table)
 
 
-def open_or_build(spark: SparkSession, path: str, build, **params) -> DataFrame:
+def fingerprint(corpus: DataFrame) -> str:
+    """Rows and a hash sum of a corpus, whatever its order and partitions; one scan."""
+    hashed = F.xxhash64(*corpus.columns).cast("decimal(38,0)")
+    rows, total = corpus.agg(F.count("*"), F.coalesce(F.sum(hashed), F.lit(0))).first()
+    return f"{rows}:{total}"
+
+
+def open_or_build(spark: SparkSession, path: str, build, *, corpus: DataFrame | None = None, **params) -> DataFrame:
     """Read the postings under ``path`` if they were built with ``params``, else build them.
 
-    ``build`` is called without arguments and returns the postings. The parameters are
+    With ``corpus`` its fingerprint counts as a parameter, so an index of other lines is refused. ``build`` is called without arguments and returns the postings. The parameters are
     written last, so a half-written index is never taken for a finished one.
     """
+    if corpus is not None:
+        params["corpus"] = fingerprint(corpus)
     wanted = json.dumps(params, sort_keys=True)
     try:
         found = spark.read.text(f"{path}/params").first()
