@@ -282,3 +282,20 @@ def test_every_method_gives_one_vector_per_word(corpus, method):
 def test_unknown_method(corpus):
     with pytest.raises(ValueError):
         word_vectors(corpus, "magic")
+
+
+def test_small_cells_join_one_block(spark):
+    rng = np.random.default_rng(3)
+    pivots = rng.normal(size=(40, 8))
+    group = K.joined_cells(pivots, np.full(40, 10), 100)
+    sizes = np.bincount(group) * 10
+    assert sizes.sum() == 400 and sizes.max() <= 100 and len(sizes) <= 8
+    v = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(v)], "word long, vec array<float>")
+    got = {}
+    for r in K.knn(df, 3, block_rows=64).orderBy("word", "rank").collect():
+        got.setdefault(r["word"], []).append(r["neighbor"])
+    x = v.astype(np.float32).astype(float)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(far, np.inf)
+    assert all(list(np.argsort(far[i])[:3]) == got[i] for i in range(300))
