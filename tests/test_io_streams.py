@@ -130,3 +130,18 @@ def test_stream_centers_survive_a_replay(spark, corpus, tmp_path):
     assert last == 2 and seen.sum() == words
     _, again, _ = run("check2")
     assert first.keys() == again.keys() and all(np.allclose(first[t], again[t]) for t in first)
+
+
+def test_stream_postings_of_a_folder(spark, tmp_path):
+    from vecindario.plans.catalog import QUERIES
+    docs = spark.createDataFrame([(i, f"sol luna{i}\nmar") for i in range(6)], "doc_id long, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    docs.toPandas().to_parquet(_made(tmp_path / "one") / "documents.parquet")
+    want = sorted(tuple(r) for r in QUERIES["postings"](spark, str(tmp_path / "one")).collect())
+    for name in ("many", "one"):
+        assert sorted(tuple(r) for r in QUERIES["stream_postings"](spark, str(tmp_path / name)).collect()) == want
+
+
+def _made(path):
+    path.mkdir()
+    return path
