@@ -133,3 +133,22 @@ def test_index_refuses_another_corpus(spark, corpus, tmp_path):
     with pytest.raises(ValueError):
         I.open_or_build(spark, path, None, corpus=corpus.filter("line_no <> 1"))
     assert I.fingerprint(corpus.limit(0)) == "0:0"
+
+
+def test_cutoffs_keep_the_lowest_hashes(spark):
+    rows = [("sol", i // 50, i % 50, 0) for i in range(3000)] + [("luna", i, 0, 1) for i in range(30)] + [(None, i, 0, 2) for i in range(90)]
+    rows += [("mar", 1, 1, 1)] * 400 + [("sol", 0, 0, 0)] * 3
+    posts = spark.createDataFrame(rows, "word string, doc_id long, line_no int, offset int")
+    ranked = posts.withColumn("rank_key", P.hash_key("word", "doc_id", "line_no", "offset"))
+    cutoffs = {r["word"]: r["cutoff"] for r in P.hash_cutoffs(ranked, 10).collect()}
+    assert "sol" in cutoffs and "luna" not in cutoffs and None not in cutoffs
+    below = sorted(r["rank_key"] for r in ranked.filter("word = 'sol'").collect() if r["rank_key"] < cutoffs["sol"])
+    assert 10 <= len(below) < 300
+    keyed = {}
+    for r in ranked.collect():
+        keyed.setdefault(r["word"], []).append((r["rank_key"], r["doc_id"], r["line_no"], r["offset"]))
+    got = {}
+    for r in P.sample(posts, 10).collect():
+        got.setdefault(r["word"], []).append((r["doc_id"], r["line_no"], r["offset"]))
+    assert {w: sorted(g) for w, g in got.items()} == {w: sorted(k[1:] for k in sorted(v)[:10]) for w, v in keyed.items()}
+    assert len(P.hash_cutoffs(ranked, 10, most=1).collect()) == 1
