@@ -97,3 +97,10 @@ def test_empty_table_and_bad_lengths(spark):
     assert packing.pack(packing.token_pieces(spark.createDataFrame([], "doc_id long, text string"), PATH)).count() == 0
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 0)], "k int, length long"))
+
+
+def test_word_and_mark_share_the_cache():
+    mine = tokens.Chunks(PATH)
+    for text in ["Hola, hola. HOLA! (hola)", "İ. ß. ª. naïve, ½. a½, don't.", "Ω. ΛΟΓΟΣ. ok) )", "", "."]:
+        assert mine.encode(text) == np.array(mine.exact(text), dtype="<u2").tobytes()
+    assert "Hola" in mine and "Hola," not in mine

@@ -35,9 +35,13 @@ def numbered(rows: DataFrame, group: str, name: str, few: bool = False) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(keys), part, dtype=np.int32)), pa.array(local)],
                                              names=[*batch.schema.names, "_part", "_local"])
 
-    counted = cut(rows.mapInArrow(count, schema), "numbered")
+    return placed(cut(rows.mapInArrow(count, schema), "numbered"), group, name, few)
+
+
+def placed(counted: DataFrame, group: str, name: str, few: bool = False) -> DataFrame:
+    """``numbered`` for written rows that already hold their task's ``_part`` and their ``_local`` number in its group."""
     sizes = counted.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return (counted.join(F.broadcast(offsets) if few else offsets, [group, "_part"]).withColumn(name, F.col("_before") + F.col("_local"))
-            .select(*rows.columns, name))
+            .select(*[c for c in counted.columns if c not in ("_part", "_local")], name))

@@ -28,8 +28,9 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..session import cut
 from . import tokens
-from .dense import numbered
+from .dense import placed
 
 LENGTH = 2048
 PER_SHARD = 4096
@@ -37,7 +38,8 @@ KEY = 20240229
 ROUNDS = 6
 END_TOKEN = 49407  # the file's end of text
 
-SEQUENCE = T.StructType([T.StructField("_all", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("packed", T.BinaryType())])
+SEQUENCE = T.StructType([T.StructField("_all", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("packed", T.BinaryType()),
+                         T.StructField("_part", T.IntegerType()), T.StructField("_local", T.LongType())])
 
 
 def codec() -> pa.Codec:
@@ -49,10 +51,13 @@ def sequences(documents: DataFrame, tokenizer: str, length: int = LENGTH, end_to
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = tokens.chunks(tokenizer).encode, np.array([end_token], dtype="<u2").tobytes()
         stride, rest, pack = 2 * length, b"", codec()
+        part, done = TaskContext.get().partitionId(), 0
 
         def rows(whole: bytes, sizes: list[int]) -> pa.RecordBatch:
             parts = [pack.compress(whole[i * stride:(i + 1) * stride], asbytes=True) for i in range(len(sizes))]
-            return pa.RecordBatch.from_arrays([pa.array([0] * len(sizes), pa.int32()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary())], names=SEQUENCE.names)
+            local = pa.array(range(done, done + len(sizes)), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([0] * len(sizes), pa.int32()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary()),
+                                               pa.array([part] * len(sizes), pa.int32()), local], names=SEQUENCE.names)
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -64,10 +69,13 @@ def sequences(documents: DataFrame, tokenizer: str, length: int = LENGTH, end_to
                 rest = run[n * stride:]
                 if n:
                     yield rows(run, [length] * n)
+                    done += n
         if rest:
             yield rows(rest + last * (length - len(rest) // 2), [len(rest) // 2])
 
-    return numbered(documents.select(text).mapInArrow(cut_up, SEQUENCE), "_all", "sequence_id", few=True).drop("_all")
+    # the task that cuts also counts, so no second Python worker passes the sequences on
+    counted = cut(documents.select(text).mapInArrow(cut_up, SEQUENCE), "numbered")
+    return placed(counted, "_all", "sequence_id", few=True).drop("_all")
 
 
 def feistel(number: Column, n: int, key: int = KEY, rounds: int = ROUNDS) -> Column:

@@ -10,17 +10,18 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
 from functools import cache, cached_property
 
-import numpy as np
-
 #: Bytes that the cached chunks may take, and what an entry takes besides its letters and ids.
 CACHE_BYTES, ENTRY_BYTES = 64 << 20, 240
 END = b"\xff"  # never part of UTF-8, so it can stand for the end of a word
 
 # The file's own split pattern, and the characters for which both routes are tested to agree.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARKS = frozenset(".,;:!?)")
 PLAIN = re.compile("[\t-\r -~ -ɏ]*")
 
 
@@ -29,6 +30,14 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pack(ids: list[int]) -> bytes:
+    """Little-endian 16-bit ids."""
+    out = array("H", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter of each byte in byte-level vocabularies, by its rule."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,8 +67,15 @@ class Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         out = self.older.get(chunk)
         if out is None:
-            ids = self.plain(chunk) if PLAIN.fullmatch(chunk) and "<|" not in chunk else self.exact(chunk)
-            out = np.array(ids, dtype="<u2").tobytes()
+            small = chunk.lower()
+            if not (chunk.isascii() and chunk.isalnum()) and ("<|" in chunk or not PLAIN.fullmatch(chunk)):
+                out = pack(self.exact(chunk))
+            elif small.isalpha():  # one piece, and NFC leaves plain characters alone
+                out = pack(self.merge(small.encode() + END))
+            elif small[-1:] in MARKS and small[:-1].isalpha():  # a word and a mark, each from the cache
+                return self[chunk[:-1]] + self[chunk[-1]]
+            else:
+                out = pack(self.plain(chunk))
         cost = ENTRY_BYTES + len(chunk) + len(out)
         if cost > CACHE_BYTES // 64:  # a chunk of half a megabyte is not worth keeping
             return out
@@ -91,8 +107,9 @@ class Chunks(dict):
         if not text:
             return b""
         if not PLAIN.fullmatch(text) and re.search("[\x1c-\x1f]", text):
-            return np.array(self.exact(text), dtype="<u2").tobytes()  # str.split would take these for blanks
-        return b"".join(map(self.__getitem__, text.split()))
+            return pack(self.exact(text))  # str.split would take these for blanks
+        held, missed = self.get, self.__missing__
+        return b"".join([held(chunk) or missed(chunk) for chunk in text.split()])
 
 
 @cache
