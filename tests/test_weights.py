@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from vecindario.operators import centroids as Ce, labels as Lb, postings as P, weights as Wt
 from vecindario.session import cut
@@ -61,6 +62,27 @@ def test_one_shuffle_by_word_serves_norm_and_mean(corpus):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_rare_terms_travel_to_the_vocabulary(spark, corpus, monkeypatch):
+    vocab = cut(Wt.vocabulary(corpus, stop=["dos", "uno"]))
+    windows = cut(P.context_windows(corpus, samples=0))
+    windows = cut(windows.unionByName(windows.limit(3)).unionByName(windows.limit(3).withColumn("doc_id", F.lit(None).cast("bigint"))))
+
+    def rows(df):
+        return sorted(map(str, df.withColumns({c: F.round(c, 9) for c in df.columns if c == "weight"}).collect()))
+
+    def every():
+        return [rows(f(windows, vocab, keep_empty=e)) for f in (Wt.tfidf_windows, Wt.count_windows) for e in (False, True)] + [
+            rows(Ce.word_centroids(windows, vocab, weighting=w)) for w in ("tfidf", "counts")]
+
+    whole = every()
+    monkeypatch.setattr(Wt, "HEAD_TERMS", 3)
+    assert every() == whole
+    monkeypatch.setattr(Wt, "parts_for", lambda df: 7)
+    plan = Ce.word_centroids(windows, vocab)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(word") == 2 and "Union" in plan  # the windows, once for each side; the union stays dealt
+    assert every() == whole
+
+
 def test_pruning_and_external_weights(corpus):
     vocab = Wt.vocabulary(corpus, min_df=2, max_df=0.5)
     rows = {r["term"]: r["df"] for r in vocab.collect()}
