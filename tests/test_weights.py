@@ -120,6 +120,22 @@ def test_rare_labels(spark):
     assert {r[0] for r in Lb.drop_rare(rows, min_count=2).select("word").distinct().collect()} == {"a", "b"}
 
 
+def test_few_labels_are_broadcast(spark, monkeypatch):
+    counts = {"a": 9, "b": 7, "c": 4, "d": 3, "e": 2, "f": 1}
+    rows = cut(label_rows(spark, counts).union(label_rows(spark, {"x": 4}).withColumn("word", F.lit(None).cast("string"))))
+    weights = cut(Lb.inverse_rank_weights(Lb.label_counts(rows.filter("word is not null"))))
+
+    def every():
+        found = (Lb.drop_rare(rows, min_count=2), Lb.stratified_sample(rows, weights, ("key",)), Lb.join_labels(rows, weights, "word", F.col("id")))
+        assert "Exchange hashpartitioning" not in found[0]._jdf.queryExecution().executedPlan().toString() or Lb.HEAD_LABELS == 2
+        return [sorted(map(str, df.collect())) for df in found]
+
+    whole = every()
+    assert len(whole[0]) == 27 and len(whole[2]) == 26
+    monkeypatch.setattr(Lb, "HEAD_LABELS", 2)
+    assert every() == whole
+
+
 def test_label_index_and_decode(spark):
     rows = label_rows(spark, {"b": 2, "a": 2, "c": 5})
     index = Lb.label_index(rows)
