@@ -174,6 +174,34 @@ def test_wide_products_shuffle_the_sparse_side_once(spark, X, dense):
     assert all(np.allclose(got[w], want[i]) for i, w in enumerate(words))
 
 
+@pytest.mark.parametrize("k,most", [(3, 4), (3, 1000), (40, 4)])
+def test_products_broadcast_the_most_frequent_keys(spark, X, dense, k, most):
+    words, terms, A = dense
+    rng = np.random.default_rng(2)
+    block = {t: rng.normal(size=k) for t in terms[1:]}  # one term without a dense row
+    wide = spark.createDataFrame([(t, *map(float, v)) for t, v in block.items()], ["term", *[f"c{j}" for j in range(k)]])
+    head = L.head(X, "term", k, most=most)
+    often = sorted(zip((A != 0).sum(axis=0), terms), key=lambda x: (-x[0], x[1]))[:most]
+    assert {r["term"] for r in head.keys.collect()} == {t for _, t in often} and head.whole == (most > len(terms))
+    product = L.multiply(X, wide, by="word", on="term", head=head)
+    got = {r["word"]: np.array(list(r)[1:]) for r in product.collect()}
+    want = A[:, 1:] @ np.stack([block[t] for t in terms[1:]])
+    assert len(got) == X.select("word").distinct().count()
+    assert all(np.allclose(got[w], want[i]) for i, w in enumerate(words))
+
+
+def test_methods_multiply_with_a_head(X, monkeypatch):
+    monkeypatch.setattr(L, "HEAD_CELLS", 30)
+    seen, plain = [], L.multiply
+    monkeypatch.setattr(L, "multiply", lambda *a, **o: seen.append(o) or plain(*a, **o))
+    filled = X.filter("term is not null")
+    svd_dense(X, 2, rounds=1)
+    N.factorize(X, 2, rounds=1)
+    KM.lloyd(filled, 2, rounds=1, head=KM.head_terms(filled, 2))
+    wide = [o for o in seen if o["by"] == "word"]
+    assert len(wide) >= 4 and all(o["head"] is not None and not o["head"].whole for o in wide)
+
+
 def brute_knn(ids, v, k):
     d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
     out = {}
