@@ -202,6 +202,19 @@ def test_methods_multiply_with_a_head(X, monkeypatch):
     assert len(wide) >= 4 and all(o["head"] is not None and not o["head"].whole for o in wide)
 
 
+@pytest.mark.parametrize("k", [5, 40])
+def test_reduced_terms_equal_the_product_with_their_signs(spark, X, k):
+    filled = X.filter("term is not null")
+    terms = filled.select("term").distinct()
+    for known in (terms, terms.filter("term > 'm'")):
+        want = L.as_vectors(L.multiply(X, cut(L.third_signs(known, "term", k, seed=7)), by="word", on="term"))
+        got = L.as_vectors(J.random.reduce_terms(X, known, k, seed=7))
+        a, b = as_dict(want), as_dict(got)
+        assert a.keys() == b.keys() and all(np.allclose(a[w], b[w]) for w in a)
+    plan = J.random.reduce_terms(X, terms, k)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # entries are summed where they lie
+
+
 def brute_knn(ids, v, k):
     d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
     out = {}

@@ -24,9 +24,16 @@ def project(sparse: DataFrame, terms: DataFrame, dim: int, *, by: str | list[str
 
 def reduce_terms(sparse: DataFrame, terms: DataFrame, dim: int, *, by: str | list[str] = "word",
                  seed: int = 42) -> DataFrame:
-    """Distance-preserving reduction to ``dim`` columns, as a first step of other methods."""
-    signs = cut(L.third_signs(terms.select("term"), "term", dim, seed=seed), "signs")
-    return L.multiply(sparse, signs, by=by, on="term")
+    """Distance-preserving reduction to ``dim`` columns, as a first step of other methods; entries of terms not in ``terms`` are zero.
+
+    Signs are hashes of the term, so an entry meets no table and is summed where it lies; only terms that ``terms`` lacks are joined.
+    """
+    unknown = cut(sparse.select("term").distinct().join(terms.select("term"), "term", "left_anti").filter(
+        F.col("term").isNotNull()), "unknown")
+    if not unknown.isEmpty():
+        marked = sparse.join(unknown.withColumn("unknown", F.lit(True)), "term", "left")
+        sparse = marked.withColumn("weight", F.when(F.col("unknown").isNull(), F.col("weight"))).drop("unknown")
+    return L.multiply_third_signs(sparse, dim, by=by, on="term", seed=seed)
 
 
 def random_vectors(centroids: DataFrame, vocab: DataFrame, *, dim: int = 100,
