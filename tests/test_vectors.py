@@ -215,6 +215,22 @@ def test_reduced_terms_equal_the_product_with_their_signs(spark, X, k):
     assert "Join" not in plan  # entries are summed where they lie
 
 
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_sparse_products_shuffle_only_rare_keys(spark, most):
+    left = spark.createDataFrame([(i, w, float(i + 1)) for i in range(9) for w in ("sol", "mar", "pan")[: 1 + i % 3]]
+                                 + [(None, "sol", 2.0), (50, None, 1.0), (51, "solo", 1.0)], "row long, word string, weight double")
+    right = spark.createDataFrame([(w, c, float(len(w) * j)) for w in ("sol", "mar", "pan") for j, c in enumerate(("es", "de", None), 1)]
+                                  + [(None, "es", 9.0), ("otro", "es", 1.0)], "word string, col string, weight double")
+    want = {}
+    for i, w, x in left.collect():
+        for v, c, y in right.collect():
+            if w is not None and w == v:
+                want[i, c] = want.get((i, c), 0.0) + x * y
+    product = L.matmul_long(left, right, on="word", most=most)
+    assert {(r["row"], r["col"]): r["weight"] for r in product.collect()} == want
+    assert "BroadcastHashJoin" in product._jdf.queryExecution().executedPlan().toString()
+
+
 def brute_knn(ids, v, k):
     d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
     out = {}
