@@ -2,7 +2,9 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import IDF, PCA, HashingTF
 
 from vecindario.operators import centroids as Ce, postings as P, windows as Wn
 from vecindario.plans import catalog as Q, predict as Pr
@@ -81,6 +83,22 @@ def test_pca(corpus):
     assert out.count() == windows.count() and len(out.first()["pca"]) == 2
 
 
+def test_pca_equals_ml_and_reads_the_windows_once(spark, corpus):
+    windows = Wn.token_windows(corpus, size=5)
+    stages = [HashingTF(inputCol="window", outputCol="tf", numFeatures=32), IDF(inputCol="tf", outputCol="weighted"),
+              PCA(k=2, inputCol="weighted", outputCol="pca")]
+    key = lambda r: (r.doc_id, r.line_no, r.pos)
+    want = {key(r): np.abs(r.pca.toArray()) for r in Pipeline(stages=stages).fit(windows).transform(windows).collect()}
+    spark.sparkContext.setJobGroup("pca", "pca")
+    out = Pr.pca_windows(windows, k=2, num_features=32)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("pca")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 3
+    got = out.collect()
+    assert len(got) == len(want) and out.columns == [*windows.columns, "pca"]
+    assert all(np.allclose(np.abs(r.pca.toArray()), want[key(r)], atol=1e-9) for r in got)
+
+
 def test_stream_postings_equal_batch(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"sol luna {i}0\nmar sol") for i in range(30)], "doc_id long, text string")
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
