@@ -163,3 +163,20 @@ def test_stream_postings_of_a_folder(spark, tmp_path):
 def _made(path):
     path.mkdir()
     return path
+
+
+def test_sampled_stream_query_deals_each_batch_to_all_cores(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"sol luna {i}0\nmar sol") for i in range(400)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    run, batches = SP.stream_sampled_postings, []
+
+    def spied(session, source, *args, **options):
+        batches.append((len([f for f in os.listdir(source[source.index("/"):]) if f.endswith(".parquet")]), options["files_per_trigger"]))
+        return run(session, source, *args, **options)
+
+    monkeypatch.setattr(Q.SP, "stream_sampled_postings", spied)
+    out = Q.stream_sampled_postings(spark, str(tmp_path)).collect()
+    (files, of_a_batch), = batches
+    assert of_a_batch >= spark.sparkContext.defaultParallelism and 3 * of_a_batch < files <= 4 * of_a_batch
+    lines = C.lines_from_column(docs)
+    assert sorted(out) == sorted(P.sample(P.postings(lines)).collect())
