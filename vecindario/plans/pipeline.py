@@ -33,6 +33,8 @@ def word_vectors(lines: DataFrame, method: str = "svd", *, dim: int = 100, sampl
     if given:
         windows = P.in_vocabulary(windows, vocab)
     if method == "discriminant":
+        if samples > 0:
+            return J.discriminant_vectors(Wt.dealt_tfidf(windows, vocab), vocab, dim=dim, known=True)
         return J.discriminant_vectors(Wt.tfidf_windows(windows, vocab, keep_empty=True), vocab, dim=dim)
     centroids = cut(Ce.word_centroids(windows, vocab, by_word=samples > 0), "centroids")
     if method == "random":
